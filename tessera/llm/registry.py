@@ -1,10 +1,11 @@
 """The subpackage's queries and their DuckDB oracles."""
 
-from tessera.llm import digest, exact, licenses, packing, secrets, simhash
+from tessera.llm import digest, exact, licenses, mixing, packing, secrets, simhash
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_mixing_sources": mixing.op3_mixing_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_document_fingerprints": digest.op5_document_fingerprints,
     "op7_secret_scan": secrets.op7_secret_scan,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_mixing_sources": mixing.oracle(),
     "op8_exact_dedup": exact.OP8_SQL,
 }
