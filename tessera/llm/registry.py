@@ -1,6 +1,6 @@
 """The subpackage's queries and their DuckDB oracles."""
 
-from tessera.llm import digest, exact, licenses, mixing, packing, secrets, simhash
+from tessera.llm import digest, exact, licenses, mixing, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_mixing_sources": mixing.op3_mixing_sources,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_document_fingerprints": digest.op5_document_fingerprints,
+    "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_exact_dedup": exact.op8_exact_dedup,
 }
