@@ -1,6 +1,6 @@
 """The subpackage's queries and their DuckDB oracles."""
 
-from tessera.llm import digest, exact, licenses, mixing, packing, quality, secrets, sharding, simhash
+from tessera.llm import digest, exact, licenses, mixing, packing, passages, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op9_substring_dedup": passages.op9_substring_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
