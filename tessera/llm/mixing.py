@@ -106,49 +106,57 @@ def _hash(seed: int, epoch: Column, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def select_epochs(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (_id, _epoch, _leaf columns, _tokens): each document once for each epoch that takes it."""
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        domain_of(F.coalesce(F.col("source"), F.lit(""))).alias("domain"),
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source"),
+LEAF = ["_domain", "_lang", "_source"]
+
+
+def with_leaf(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the columns of its leaf and its token estimate."""
+    source = F.coalesce(F.col("source"), F.lit(""))
+    return docs.select(
+        "*", domain_of(source).alias("_domain"), F.coalesce("lang", F.lit("")).alias("_lang"), source.alias("_source"),
         tokens_of(whole_text(text_col)).alias("_tokens"),
-    )
-    rows = written(rows, "tokens")
-    leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("_tokens").alias("leaf_tokens"))
-    budgets = leaf_budgets(leaves, mix)
-    budgets = budgets.select(
-        "domain", "lang", "source", "leaf_tokens", "leaf_budget",
+    )
+
+
+def take_epochs(rows: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> DataFrame:
+    """rows (as with_leaf() gives them) with _epoch: each row once for each epoch that takes it.
+
+    Only token sums, tables of leaves and the rows of the one range in which a leaf's prefix ends are shuffled.
+    """
+    leaves = rows.groupBy(*[F.col(k).alias(k[1:]) for k in LEAF]).agg(F.sum("_tokens").alias("leaf_tokens"))
+    budgets = leaf_budgets(leaves, mix).select(
+        *[F.col(k[1:]).alias(k) for k in LEAF],
         F.expr("cast(leaf_budget DIV leaf_tokens AS int)").alias("_whole"),
         F.expr("leaf_budget % leaf_tokens").alias("_rest"),
-    )
+    )
+    # a row for each leaf: bounded by the domains, languages and sources there are, not by documents
     budgets = written(budgets, "budgets")
-    leaf = ["domain", "lang", "source"]
-    hashed = rows.join(F.broadcast(budgets), leaf).withColumn("_h", _hash(mix.seed, F.col("_whole"), F.col("_id")))
+    hashed = rows.join(F.broadcast(budgets), LEAF).withColumn("_h", _hash(mix.seed, F.col("_whole"), F.col(id_col)))
     hashed = hashed.withColumn("_range", F.shiftright("_h", 60 - RANGES.bit_length() + 1).cast("int"))
-    sums = hashed.groupBy(*leaf, "_range").agg(F.sum("_tokens").alias("_sum"))
-    before = Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = hashed.groupBy(*LEAF, "_range").agg(F.sum("_tokens").alias("_sum"))
+    before = Window.partitionBy(*LEAF).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    cut = sums.join(F.broadcast(budgets.select(*leaf, "_rest")), leaf).where("_start <= _rest AND _start + _sum > _rest")
-    cut = written(cut.select(*leaf, F.col("_range").alias("_cut"), F.col("_start")), "cuts")
-    marked = hashed.join(F.broadcast(cut), leaf, "left")
-    inside = marked.where("_range = _cut")
-    order = Window.partitionBy(*leaf).orderBy("_h", "_id")  # the default frame takes ties together
-    inside = inside.withColumn("_run", F.col("_start") + F.sum("_tokens").over(order)).where("_run <= _rest")
-    columns = ["_id", *leaf, "_tokens"]
-    last = marked.where("_range < _cut").select(*columns, F.col("_whole").alias("_epoch"))
-    last = last.unionByName(inside.select(*columns, F.col("_whole").alias("_epoch")))
-    whole = hashed.where("_whole > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)))
-    return whole.select(*columns, "_epoch").unionByName(last)
+    cut = sums.join(F.broadcast(budgets.select(*LEAF, "_rest")), LEAF).where("_start <= _rest AND _start + _sum > _rest")
+    cut = written(cut.select(*LEAF, F.col("_range").alias("_cut"), F.col("_start")), "cuts")
+    marked = hashed.join(F.broadcast(cut), LEAF, "left")
+    order = Window.partitionBy(*LEAF).orderBy("_h", id_col)  # the default frame takes ties together
+    ends = marked.where("_range = _cut").withColumn("_more", (F.col("_start") + F.sum("_tokens").over(order) <= F.col("_rest")).cast("int"))
+    others = marked.where("_range <> _cut").withColumn("_more", (F.col("_range") < F.col("_cut")).cast("int"))
+    times = others.unionByName(ends).withColumn("_times", F.col("_whole") + F.col("_more")).where("_times > 0")
+    taken = times.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    return taken.select(*rows.columns, "_epoch")
+
+
+def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' own columns, a row for each epoch that takes the document."""
+    return take_epochs(with_leaf(docs, text_col), mix, id_col).select(*docs.columns)
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, tokens): each taken document, once for each epoch."""
-    taken = select_epochs(table(spark, sf_dir, "documents"))
-    return taken.select(
-        F.col("_id").alias("doc_id"), "domain", "lang", "source", F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens")
-    )
+    rows = with_leaf(table(spark, sf_dir, "documents")).select("doc_id", *LEAF, "_tokens")
+    taken = take_epochs(written(rows, "tokens"))
+    return taken.select("doc_id", *[F.col(k).alias(k[1:]) for k in LEAF], F.col("_epoch").alias("epoch"), F.col("_tokens").alias("tokens"))
 
 
 def _sql_weight(name: str, weights: dict[str, int], default: int) -> str:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, table, written
+from tessera.llm.common import components, maybe_in, table, without, written
 
 MAX_BITS = 3
 #: Any five of eight positions hold three in one half: the guarantee 8 - 3 = 5.
@@ -219,5 +219,112 @@ def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
     )
 
 
+#: For similar texts: 512 bits; triples of the 64 positional bytes, PERMUTATIONS times a third of them.
+LANES = 8
+PERMUTATIONS = 8
+#: Of 64 positional bytes two texts of Jaccard similarity 0.8 share 17 (deviation 4), unrelated ones a quarter of one.
+MIN_SHARED = 6
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+
+
+def wide_triples(lanes: int = LANES, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """Rows of three byte positions: disjoint triples of a few fixed random orders of the positions."""
+    rng, size = np.random.default_rng(4), 8 * lanes
+    return np.concatenate([rng.permutation(size)[: size // 3 * 3].reshape(-1, 3) for _ in range(permutations)])
+
+
+def wide_fingerprints(docs: DataFrame, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp binary of 8 x LANES bytes, keys array<long>: a posting key for each triple)."""
+    triples = wide_triples()
+    base = np.arange(len(triples), dtype=np.int64) << 24
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                fps = [fingerprint(shingle_hashes(t.as_py(), words), LANES) for t in part.column(1)]
+                b = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1).astype(np.int64)
+                keys = base + (b[:, triples[:, 0]] << 16 | b[:, triples[:, 1]] << 8 | b[:, triples[:, 2]])
+                cuts = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * len(triples))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))], [id_col, "fp", "keys"]
+                )
+
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
+    return source.mapInArrow(run, f"{id_col} long, fp binary, keys array<long>")
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, id): each id of a posting with the posting's first and with the one before it."""
+    key, first, last = None, None, None
+    for batch in batches:
+        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(keys):
+            continue
+        new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
+        start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
+        firsts = np.where(start >= 0, ids[np.maximum(start, 0)], first if first is not None else 0)
+        before = np.concatenate(([last if last is not None else ids[0]], ids[:-1]))
+        key, first, last = keys[-1], firsts[-1], ids[-1]
+        inside = ~new
+        a = np.concatenate((firsts[inside], before[inside]))
+        b = np.concatenate((ids[inside], ids[inside]))
+        real = (a != b) & np.concatenate((np.ones(inside.sum(), bool), before[inside] != firsts[inside]))
+        if real.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], ["a", "b"])
+
+
+def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b): linked ids whose sets of shingles have at least the Jaccard similarity; a posting gives two links for a row at most."""
+    marks = written(wide_fingerprints(docs, words, id_col, text_col), "wide")
+    posted = marks.select(F.explode("keys").alias("key"), F.col(id_col).alias("id"))
+    laid = posted.repartition("key").sortWithinPartitions("key", "id")
+    pairs = laid.mapInArrow(_stars, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
+    fps = marks.select(F.col(id_col).alias("id"), "fp")
+    both = pairs.join(fps.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(fps.withColumnsRenamed({"id": "b", "fp": "fb"}), "b").select("a", "b", "fa", "fb")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                enough = pa.array((fa == fb).sum(1) >= MIN_SHARED)
+                yield batch.select(["a", "b"]).filter(enough)
+
+    likely = written(both.mapInArrow(tally, "a long, b long"), "likely")
+    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    there = maybe_in(docs.select(id_col, text_col), id_col, wanted, "id", "_maybe").where("_maybe")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                packed = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
+
+    held = written(there.select(F.col(id_col).cast("long"), text_col).mapInArrow(sets, "id long, shingles binary"), "shingles")
+    full = likely.join(held.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return full.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the smallest id of each group of similar texts; rows without a similar one do not shuffle."""
+    linked = written(similar_pairs(docs, similarity, words, id_col, text_col), "links")
+    roots = written(components(linked), "groups")
+    stay = roots.groupBy("root").agg(F.min("v").alias("stay"))
+    gone = written(roots.join(stay, "root").where("v <> stay").select("v"), "gone")
+    return without(docs, id_col, gone, "v")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
