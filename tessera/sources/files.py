@@ -27,7 +27,7 @@ def raw_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def text_documents(files: DataFrame) -> DataFrame:
     """Raw text of txt files; no marker, so the whole file is page 0. Bytes that are not UTF-8 make an error row."""
-    text = F.try_validate_utf8(F.col("content").cast("string")) if hasattr(F, "try_validate_utf8") else F.decode("content", "UTF-8")
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     out = files.where("source_type = 'txt'").withColumn("raw_text", text)
     error = F.when(F.col("raw_text").isNull(), F.lit("not UTF-8"))
     return out.select("source_uri", "source_type", "content_hash", "raw_text", error.alias("error_message"))
