@@ -14,8 +14,11 @@ A document of exactly k x tokens ids makes k full pieces. Only documents longer
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bucket_count, ranked, table, written
 
 #: Entries of a worker's cache of pre-token ids; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 #: Where white space meets white space, or an end of the text, pre-tokens may reach over a space.
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+_TAILS = (".", ",", "!", "?", ":", ";")
 
 
 @dataclass(frozen=True)
@@ -53,33 +58,81 @@ class Encoder:
 
     The byte-level pre-tokeniser always starts a pre-token at a single space or line feed between two other
     characters, so a text whose white space is single is the sum of its space-led parts; their ids are cached.
-    Other texts, and texts with the name of a special token, go to the tokeniser whole.
+    Other texts, and texts with the name of a special token, go to the tokeniser whole. A letter run is one
+    pre-token, and punctuation after it or a line feed before it are others, so a new part is cut there and its letter
+    run merged by rank where the file's merges are in the order of their ids (checked), else by the tokeniser.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self._by_rank(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
 
+    @staticmethod
+    def _by_rank(path: str):
+        """A function from a letter run to ids, or None where ranks do not say all."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, vocab = spec["model"], spec["model"]["vocab"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", ())]
+        byte_level = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
+        in_order = all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+        plain = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or spec.get("normalizer"))
+        if not (model.get("type", "BPE") == "BPE" and byte_level and in_order and plain):
+            return None
+        # byte-level alphabets name printable Latin-1 bytes by themselves and the others by code points from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        added = {t["content"] for t in spec.get("added_tokens", ())}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in added}
+        return tiktoken.Encoding("letters", pat_str=r" ?\p{L}+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _single(self, text: str) -> bool:
+        """Whether all white space is single spaces and line feeds inside the text."""
+        if text.replace("\n", "").isprintable():  # no other white space
+            return text[:1] not in (" ", "\n", "") and text[-1] not in (" ", "\n") and not any(d in text for d in _DOUBLE)
+        return "\0" not in text and not _LOOSE.search(text)
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(c.ids, dtype="<u4").tobytes() for c in coded]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = [
-            None if "\0" in t or _LOOSE.search(t) or any(s in t for s in self.special)
-            else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if self._single(t) and not any(s in t for s in self.special) else None
             for t in texts
-        ]
+        ]
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        cache = self.cache
-        new = list({p for ps in parts if ps for p in ps if p not in cache})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
+        cache, merge = self.cache, self.merge
+        new = {p for ps in parts if ps for p in ps if p not in cache}
+        whole = [m for m in ("\n", *_TAILS) if m not in cache]
+        cut = []
+        for p in new:
+            head, core, tail = "", p, ""
+            if p[0] == "\n":
+                head, core = "\n", p[1:]
+            if core[-1:] in _TAILS:
+                core, tail = core[:-1], core[-1]
+            letters = core[1:] if core[:1] == " " else core
+            if merge and letters.isalpha():
+                cut.append((p, head, core, tail))
+            else:
+                whole.append(p)
+        for i in range(0, len(whole), 10_000):
+            some = whole[i : i + 10_000]
             cache.update(zip(some, self._direct(some), strict=True))
+        for p, head, core, tail in cut:
+            ids = cache.get(core)
+            if ids is None:
+                ids = cache[core] = np.asarray(merge(core), "<u4").tobytes() if sys.byteorder == "big" else array("I", merge(core)).tobytes()
+            if head or tail:
+                cache[p] = (cache[head] if head else b"") + ids + (cache[tail] if tail else b"")
         out = []
         for t, ps in zip(texts, parts, strict=True):
             out.append(b"".join([cache[p] for p in ps]) if ps is not None else self._direct([t])[0])
@@ -141,7 +194,6 @@ def plan_bins(histogram: dict[int, int], cap: Capacity) -> tuple[list[tuple[int,
                     value = -(weights * rest**2).sum(1)
                 else:
                     value = (weights * (np.asarray(fit, float) / full) * (np.asarray(need, float) / full)).sum(1)
-                    value = -value if cap.score == "tight" else value
                 state = fit[int(np.lexsort((np.asarray([s[0] for s in fit]), -value))[0])]
                 first, number = states[state].pop()
                 if not states[state]:
@@ -174,7 +226,7 @@ def pack(cut: DataFrame, cap: Capacity, id_col: str = "doc_id") -> DataFrame:
     histogram = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, bins = plan_bins(histogram, cap)
     rows = cut.count()
-    placed = ranked(cut, ["length"], [id_col, "piece"], bucket_count(rows, 20_000), "_rank")
+    placed = ranked(cut, ["length"], [id_col, "piece"], bucket_count(rows, 4_000), "_rank")
     by_length: dict[int, list[tuple]] = defaultdict(list)
     for length, rank, number, first, offset in runs:
         by_length[length].append((rank, number, first, offset))
