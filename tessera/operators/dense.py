@@ -94,7 +94,7 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, id_col:
         raise ValueError(f"a job takes {MAX_QUERIES} queries at most")
     ids = [r[query_id] for r in block]
     scopes = np.asarray([r[scope] for r in block]) if scope else None
-    q = np.asarray([r[query_vec] for r in block], float).reshape(len(block), -1)
+    q = np.asarray([r[query_vec] for r in block], float) if block else np.zeros((0, 1))
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     qkind, kind = queries.schema[query_id].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
 
@@ -103,6 +103,8 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, query_id: str, id_col:
             if not rows.num_rows or not ids:
                 continue
             m = np.asarray(rows.column(1).to_pylist(), float)
+            if m.shape[1:] != q.shape[1:]:
+                raise ValueError(f"queries have {q.shape[1]} components, vectors {m.shape[1:]}")
             m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
             names = np.asarray(rows.column(0).to_pylist())
             scores = np.round(q @ m.T, 6)
