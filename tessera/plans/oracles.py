@@ -136,6 +136,37 @@ _UNITS = "sq|km|cm|mm|kg|mg|ml|litre|liter|gallon|mile|miles|ft|feet|inch|inches
 _CITES = "\\b(?:ibid|op\\.?\\s*cit|cit|ibid\\.?|loc\\.?\\s*cit|p{1,2}\\.\\s*\\d+|vol\\.?|no\\.?\\s*\\d+|chapter\\s+\\d+\\s*,?\\s*p)\\.{0,2}$"
 _CITES_ANY = "\\b(?:ibid|ibid\\.|ibicl|op\\.?\\s*cit|loc\\.?\\s*cit|et\\s+al)\\b"
 _NUMBERED = "^(?:\\d+(?:\\.\\d+)*\\.?|[IVXLC]+\\.|Chapter\\s+\\d+|Part\\s+[IVXLC0-9]+|Section\\s+\\d+(?:\\.\\d+)*\\.?)(?:\\s+\\S.*)?$"
+
+def _ranges(tokens: str, budget: int, overlap: int) -> str:
+    """List of {lo, hi} for a list of token counts, by a fold over the items."""
+    tail = f"""list_reduce(list_reverse({tokens}[s.lo + 1 : s.hi]), lambda t, y: CASE WHEN t.open AND (t.n = 0 OR t.total + y <= {overlap})
+        THEN {{n: t.n + 1, total: t.total + y, open: t.total + y < {overlap}}} ELSE {{n: t.n, total: t.total, open: false}} END, {{n: 0, total: 0, open: true}})"""
+    closed = "CASE WHEN s.hi > s.lo THEN list_append(s.o, {lo: s.lo, hi: s.hi}) ELSE s.o END"
+    fold = f"""list_reduce({tokens}, lambda s, x: CASE
+        WHEN x > {budget} THEN {{o: list_append({closed}, {{lo: s.hi, hi: s.hi + 1}}), lo: s.hi + 1, hi: s.hi + 1, total: 0}}
+        WHEN s.hi > s.lo AND s.total + x > {budget} THEN {{o: {closed}, lo: s.hi - ({tail}).n, hi: s.hi + 1, total: ({tail}).total + x}}
+        ELSE {{o: s.o, lo: s.lo, hi: s.hi + 1, total: s.total + x}} END, {{o: []::STRUCT(lo INT, hi INT)[], lo: 0, hi: 0, total: 0}})"""
+    return f"(SELECT CASE WHEN f.hi > f.lo THEN list_append(f.o, {{lo: f.lo, hi: f.hi}}) ELSE f.o END FROM (SELECT {fold} AS f))"
+
+
+ORACLES["e1_pack_ranges"] = f"""WITH s AS (SELECT doc_id, {_sentences(_ascii('text'))} AS s FROM documents),
+  t AS (SELECT doc_id, list_transform(s, lambda v: {_tokens('v')}) AS tk FROM s), r AS (SELECT doc_id, {_ranges('tk', 120, 30)} AS r FROM t)
+  SELECT doc_id, (i - 1)::INT AS piece, r[i].lo AS lo, r[i].hi AS hi FROM r, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i)"""
+
+
+def _heading(l: str, ws: str, cs: str) -> str:
+    """Whether the stripped line l, its words ws and its words without small ones cs make a heading."""
+    return f"""coalesce(CASE
+    WHEN {l} = '' OR length({l}) > 90 OR regexp_matches({l}, '{BRACKETS}') OR regexp_matches({l}, '(?i)\\b(?:{_UNITS})\\b')
+      OR len(regexp_extract_all({l}, '(?:^|[^\\w.])\\d[\\d,.]*')) > 1 OR regexp_matches({l}, '(?i){_CITES}') OR regexp_matches({l}, '(?i){_CITES_ANY}')
+      OR regexp_matches({l}, '[?:,;.]$') OR regexp_matches({l}, '^\\d{{1,4}}\\s+[A-Z][A-Z\\s]{{4,}}\\b')
+      OR length(array_to_string(regexp_extract_all({l}, '[A-Za-z]{{2,}}'), '')) < 4 THEN false
+    WHEN regexp_matches({l}, '^[^a-z]*[A-Z][^a-z]*$') AND len({ws}) <= 10 THEN true
+    WHEN regexp_matches({l}, '{_NUMBERED}') THEN NOT regexp_matches({l}, '(?i)^\\s*(?:\\d+(?:\\.\\d+)*\\.?\\s*)?(?:{VERBS})\\b')
+    WHEN len({cs}) >= 2 AND len(list_filter({cs}, lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0 THEN true
+    ELSE len({cs}) = 1 AND regexp_matches({cs}[1], '^\\p{{Lu}}\\p{{L}}{{2,}}$') AND regexp_matches({cs}[1], '\\p{{Ll}}') END, false)"""
+
+
 ORACLES["d3_headings"] = f"""WITH lines AS (
     SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split({_ascii('text')}, chr(10)) AS ls FROM documents),
            LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
@@ -146,15 +177,45 @@ ORACLES["d3_headings"] = f"""WITH lines AS (
   flat AS (SELECT doc_id, line_no, i - 1 AS variant, {_strip('v[i]')} AS l FROM variants, LATERAL (SELECT unnest(range(1, 9)) AS i)),
   parts AS (SELECT *, list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> '') AS ws FROM flat),
   cont AS (SELECT *, list_filter(ws, lambda w: NOT list_contains({_list(SMALL_WORDS)}, lower(w))) AS cs FROM parts)
-  SELECT doc_id, line_no::INT AS line_no, variant::INT AS variant, coalesce(CASE
-    WHEN l = '' OR length(l) > 90 OR regexp_matches(l, '{BRACKETS}') OR regexp_matches(l, '(?i)\\b(?:{_UNITS})\\b')
-      OR len(regexp_extract_all(l, '(?:^|[^\\w.])\\d[\\d,.]*')) > 1 OR regexp_matches(l, '(?i){_CITES}') OR regexp_matches(l, '(?i){_CITES_ANY}')
-      OR regexp_matches(l, '[?:,;.]$') OR regexp_matches(l, '^\\d{{1,4}}\\s+[A-Z][A-Z\\s]{{4,}}\\b')
-      OR length(array_to_string(regexp_extract_all(l, '[A-Za-z]{{2,}}'), '')) < 4 THEN false
-    WHEN regexp_matches(l, '^[^a-z]*[A-Z][^a-z]*$') AND len(ws) <= 10 THEN true
-    WHEN regexp_matches(l, '{_NUMBERED}') THEN NOT regexp_matches(l, '(?i)^\\s*(?:\\d+(?:\\.\\d+)*\\.?\\s*)?(?:{VERBS})\\b')
-    WHEN len(cs) >= 2 AND len(list_filter(cs, lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0 THEN true
-    ELSE len(cs) = 1 AND regexp_matches(cs[1], '^\\p{{Lu}}\\p{{L}}{{2,}}$') AND regexp_matches(cs[1], '\\p{{Ll}}') END, false) AS is_heading FROM cont"""
+  SELECT doc_id, line_no::INT AS line_no, variant::INT AS variant, {_heading('l', 'ws', 'cs')} AS is_heading FROM cont"""
+
+_TITLE = "regexp_replace(array_to_string(regexp_split_to_array(text, '\\s+')[1:2], ' '), '[^A-Za-z ]', '', 'g')"
+_INITCAP = f"array_to_string(list_transform(string_split(lower({_TITLE}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+SECTIONS = f"""headed AS (SELECT conv_id AS doc_id, turn AS page_pos, turn + 1 AS page_number,
+    CASE WHEN turn % 3 = 0 THEN {_INITCAP} || chr(10) || text ELSE text END AS text FROM conversations),
+  ls AS (SELECT *, string_split(text, chr(10)) AS l FROM headed WHERE regexp_matches(text, '\\S')),
+  lines AS (SELECT doc_id, page_pos, page_number, i AS line_no, l[i] AS line, {_strip('l[i]')} AS s FROM ls, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+  lw AS (SELECT *, list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '') AS ws FROM lines),
+  lc AS (SELECT *, list_filter(ws, lambda w: NOT list_contains({_list(SMALL_WORDS)}, lower(w))) AS cs FROM lw),
+  lh AS (SELECT *, {_heading('s', 'ws', 'cs')} AS h FROM lc),
+  numbered AS (SELECT *, coalesce(sum(h::INT) OVER (PARTITION BY doc_id, page_pos ORDER BY line_no), 0) AS section_no,
+               last_value(CASE WHEN h THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_pos, line_no) AS title FROM lh),
+  parts AS (SELECT doc_id, page_pos, page_number, section_no, arg_max(title, line_no) AS t1, any_value(title) AS section_title,
+            {_strip("coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT h), '')")} AS body FROM numbered GROUP BY ALL),
+  kept AS (SELECT * FROM (SELECT *, max(section_no) OVER (PARTITION BY doc_id, page_pos) AS last_no FROM parts)
+           WHERE body <> '' OR (section_no = last_no AND section_title IS NOT NULL)),
+  changed AS (SELECT *, section_title IS NOT NULL AND section_title IS DISTINCT FROM
+              last_value(section_title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_pos, section_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS new_ FROM kept),
+  sections AS (SELECT doc_id, page_pos, page_number, section_no, section_title, body, array_to_string(
+      (list(section_title) FILTER (new_) OVER (PARTITION BY doc_id ORDER BY page_pos, section_no ROWS UNBOUNDED PRECEDING))[-6:], ' > ') AS heading_path FROM changed)"""
+ORACLES["d6_sections"] = f"""WITH {SECTIONS} SELECT doc_id, page_pos::INT AS page_pos, page_number::INT AS page_number, section_no::INT AS section_no,
+  section_title, body, coalesce(heading_path, '') AS heading_path FROM sections"""
+
+
+def _chunks(sections: str, budget: int, overlap: int) -> str:
+    """CTEs after sections (doc_id, page_pos, page_number, section_no, section_title, heading_path, body) and the final SELECT."""
+    return f"""{sections}, sents AS (SELECT *, {_sentences('body')} AS ss FROM sections WHERE body <> ''),
+  toks AS (SELECT *, list_transform(ss, lambda v: {_tokens('v')}) AS tk FROM sents), packs AS (SELECT *, {_ranges('tk', budget, overlap)} AS r FROM toks),
+  pieces AS (SELECT *, array_to_string(ss[r[i].lo + 1 : r[i].hi], ' ') AS content, i FROM packs, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i)),
+  num AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_pos, section_no, i) - 1)::INT AS chunk_index FROM pieces)
+  SELECT sha256(doc_id || '|' || chunk_index) AS chunk_id, doc_id, chunk_index, content, {_tokens('content')} AS token_count, page_number::INT AS page_number,
+         section_title, coalesce(heading_path, '') AS heading_path FROM num WHERE length(content) >= 80"""
+
+
+ORACLES["e2_chunks"] = "WITH " + _chunks(SECTIONS, 120, 30)
+_WHOLE = f"""src AS (SELECT doc_id, text AS t FROM documents), {_CLEAN}, headed AS (SELECT doc_id, 0 AS page_pos, 1 AS page_number, text FROM cleaned),
+  ls AS""" + SECTIONS.split("ls AS", 1)[1]
+ORACLES["e3_document_chunks"] = "WITH " + _chunks(_WHOLE, 400, 80)
 
 # --- lexical retrieval
 
