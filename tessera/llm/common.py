@@ -121,8 +121,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
-#: Bits of a membership filter: 16 for each member, 2^28 at most (a broadcast table of 4.2 million rows, about 130 MB).
-FILTER_BITS = 1 << 28
+#: Bits of a membership filter: 16 for each member, 2^27 at most (a broadcast table of 2.1 million rows, about 85 MB).
+FILTER_BITS = 1 << 27
 
 
 def maybe_in(df: DataFrame, col: str, members: DataFrame, member: str, flag: str) -> DataFrame:

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, whole_text, written
 
 #: Bits of the filter: BITS_PER_ROW for each row, MOST_BITS at most. The broadcast table has a row for each 64 bits
-#: that hold a kept bit: 4.2 million rows, about 130 MB, at the bound.
+#: that hold a kept bit: 2.1 million rows, about 85 MB, at the bound.
 BITS_PER_ROW = 16
-MOST_BITS = 1 << 28
+MOST_BITS = 1 << 27
 PROBES = 2
+#: Parts over which the rows of one hash are dealt when they meet their group.
+SALTS = 32
 
 
 def _positions(text: Column, bits: int) -> list[Column]:
@@ -63,7 +65,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maybe = rows.where("_maybe").drop("_maybe")
     groups = maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     same_row = Window.partitionBy("text_sha256", id_col).orderBy(id_col)
-    joined = maybe.withColumn("_copy", F.row_number().over(same_row)).join(groups, "text_sha256")
+    # one hash may hold a third of all rows: its rows are dealt over salts, its group's one row is repeated for each
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+    numbered = maybe.withColumn("_copy", F.row_number().over(same_row)).withColumn("_salt", salt)
+    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = numbered.join(salted, ["text_sha256", "_salt"])
     shuffled = joined.select(
         id_col, "keep_id", "group_size",
         (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256",
