@@ -140,8 +140,8 @@ def maybe_in(df: DataFrame, col: str, members: DataFrame, member: str, flag: str
 
 def without(df: DataFrame, col: str, gone: DataFrame, member: str) -> DataFrame:
     """Rows of df whose col is not among gone; only rows that the filter can't clear shuffle."""
-    flagged = maybe_in(df, col, gone, member, "_maybe")
-    straight = flagged.where(~F.col("_maybe")).select(*df.columns)
+    whole = df.select(F.struct("*").alias("_row"), F.col(col).alias("_id"))
+    flagged = maybe_in(whole, "_id", gone, member, "_maybe")
     ids = gone.select(F.col(member).alias("_gone")).distinct()
-    unsure = flagged.where("_maybe").join(ids, F.col(col) == F.col("_gone"), "left_anti")
-    return straight.unionByName(unsure.select(*df.columns))
+    unsure = flagged.where("_maybe").join(ids, F.col("_id") == F.col("_gone"), "left_anti")
+    return flagged.where(~F.col("_maybe")).select("_row").unionByName(unsure.select("_row")).select("_row.*")

@@ -82,17 +82,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """The rows of docs that stay, with docs' own columns. Rows that the filter clears do not shuffle."""
-    text = whole_text(text_col)
-    flagged = possibly_repeated(docs, text, bits=bits)
-    straight = flagged.where(~F.col("_maybe")).select(*docs.columns)
-    maybe = flagged.where("_maybe").drop("_maybe").withColumn("_sha", F.sha2(text, 256))
-    keepers = maybe.groupBy("_sha").agg(F.max(id_col).alias("_keep"))
-    same_row = Window.partitionBy("_sha", id_col).orderBy(id_col)
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
+    flagged = possibly_repeated(whole, F.col("_text"), bits=bits)
+    maybe = flagged.where("_maybe").select("_row", "_id", F.sha2("_text", 256).alias("_sha"))
+    keepers = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"))
+    same_row = Window.partitionBy("_sha", "_id").orderBy("_id")
     one_each = maybe.withColumn("_copy", F.row_number().over(same_row)).where("_copy = 1")
     stay = one_each.alias("r").join(
-        keepers.alias("k"), (F.col("r._sha") == F.col("k._sha")) & F.col(f"r.{id_col}").eqNullSafe(F.col("k._keep")), "left_semi"
+        keepers.alias("k"), (F.col("r._sha") == F.col("k._sha")) & F.col("r._id").eqNullSafe(F.col("k._keep")), "left_semi"
     )
-    return straight.unionByName(stay.select(*docs.columns))
+    return flagged.where(~F.col("_maybe")).select("_row").unionByName(stay.select("_row")).select("_row.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

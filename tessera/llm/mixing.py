@@ -149,7 +149,9 @@ def take_epochs(rows: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> Da
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' own columns, a row for each epoch that takes the document."""
-    return take_epochs(with_leaf(docs, text_col), mix, id_col).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"), "lang", "source")
+    rows = with_leaf(whole).select("_row", "_id", *LEAF, "_tokens")
+    return take_epochs(rows, mix, "_id").select("_row.*")
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,8 +211,7 @@ def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
     distinct = written(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     roots = written(components(links(distinct.select("fp"), crowded)), "roots").withColumnRenamed("v", "fp")
     labelled = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = labelled.where("root <> fp").unionByName(labelled.where("root = fp"))
-    smallest = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     class_of = labelled.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return rows.join(class_of, "fp").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

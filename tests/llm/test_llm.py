@@ -37,7 +37,7 @@ def rows():
 @pytest.fixture(scope="module")
 def docs(spark, rows):
     """With extra columns whose names clash with likely internal ones."""
-    return spark.createDataFrame(rows, SCHEMA).withColumns({"rank": F.lit(1), "fp": F.lit("x"), "words": F.lit(0.5), "shard": F.lit("s")}).repartition(5)
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"rank": F.lit(1), "fp": F.lit("x"), "words": F.lit(0.5), "shard": F.lit("s"), "_row": F.lit(2), "_maybe": F.lit(3), "_id": F.lit(4), "_times": F.lit(5)}).repartition(5)
 
 
 @pytest.fixture(scope="module")
