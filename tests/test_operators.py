@@ -13,7 +13,7 @@ from tessera.config import Settings
 from tessera.functions.headings import is_heading
 from tessera.operators import catalog, chunks, dense, grounding, lexical, metrics, search
 from tessera.plans import engine
-from tessera.sources.files import question_set, raw_files, text_documents
+from tessera.sources.files import paged_documents, question_set, raw_files, text_documents
 from tessera.sources.store import Store
 from tessera.streaming.ingest import stream_ingest
 
@@ -345,6 +345,26 @@ def test_question_sets(spark, tmp_path):
             question_set(spark, str(tmp_path / f"bad{i}.json"))
 
 
+def test_paged_files_through_an_extractor(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+
+    def extract(content):
+        if b"|" not in content:
+            raise OSError("no pages")
+        return [*content.decode().split("|"), None]
+
+    files, _ = raw_files(spark, str(tmp_path))
+    got = {r.source_uri[-5:]: r for r in paged_documents(files, extract).collect()}
+    assert got["a.pdf"].raw_text == "\f[page 1]\none\f[page 2]\ntwo\f[page 3]\n" and got["a.pdf"].error_message is None
+    assert got["b.pdf"].raw_text is None and "no pages" in got["b.pdf"].error_message
+
+
+def test_text_that_is_not_utf8(spark, tmp_path):
+    (tmp_path / "x.txt").write_bytes(b"\xff\xfe bad")
+    assert text_documents(raw_files(spark, str(tmp_path))[0]).first().error_message == "not UTF-8"
+
+
 def test_store_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.read("t") is None
