@@ -61,7 +61,7 @@ def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
     """Lane 0 is the hash itself; further lanes are fixed bijections of it."""
     if lane == 0:
         return h
-    x = h + np.uint64(lane) * np.uint64(0x9E3779B97F4A7C15)
+    x = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -223,6 +223,8 @@ LANES = 8
 PERMUTATIONS = 8
 #: Of 64 positional bytes two texts of Jaccard similarity 0.8 share 17 (deviation 4), unrelated ones a quarter of one.
 MIN_SHARED = 6
+#: So many of a posting's members are also linked to the one before; beyond, a posting is a dense family of copies.
+CHAINED = 64
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 
@@ -255,44 +257,48 @@ def wide_fingerprints(docs: DataFrame, words: int = SIMILAR_WORDS, id_col: str =
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, id): each id of a posting with the posting's first and with the one before it."""
-    key, first, last = None, None, None
+    """Rows sorted by (key, id): each id of a posting with the posting's first, the first CHAINED also with the one before."""
+    key, first, last, seen = None, 0, 0, 0
     for batch in batches:
         keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(keys):
             continue
         new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        firsts = np.where(start >= 0, ids[np.maximum(start, 0)], first if first is not None else 0)
-        before = np.concatenate(([last if last is not None else ids[0]], ids[:-1]))
-        key, first, last = keys[-1], firsts[-1], ids[-1]
-        inside = ~new
-        a = np.concatenate((firsts[inside], before[inside]))
-        b = np.concatenate((ids[inside], ids[inside]))
-        real = (a != b) & np.concatenate((np.ones(inside.sum(), bool), before[inside] != firsts[inside]))
-        if real.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], ["a", "b"])
-
-
-def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b): linked ids whose sets of shingles have at least the Jaccard similarity; a posting gives two links for a row at most."""
-    marks = written(wide_fingerprints(docs, words, id_col, text_col), "wide")
-    posted = marks.select(F.explode("keys").alias("key"), F.col(id_col).alias("id"))
-    laid = posted.repartition("key").sortWithinPartitions("key", "id")
-    pairs = laid.mapInArrow(_stars, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys"))
-    fps = marks.select(F.col(id_col).alias("id"), "fp")
-    both = pairs.join(fps.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(fps.withColumnsRenamed({"id": "b", "fp": "fb"}), "b").select("a", "b", "fa", "fb")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                enough = pa.array((fa == fb).sum(1) >= MIN_SHARED)
-                yield batch.select(["a", "b"]).filter(enough)
+        rows = np.arange(len(keys))
+        start = np.maximum.accumulate(np.where(new, rows, -1))
+        firsts = np.where(start >= 0, ids[np.maximum(start, 0)], first)
+        place = np.where(start >= 0, rows - start, rows + seen)
+        before = np.concatenate(([last], ids[:-1]))
+        key, first, last, seen = keys[-1], firsts[-1], ids[-1], int(place[-1]) + 1
+        star, chain = ~new, ~new & (place < CHAINED) & (before != firsts)
+        a, b = np.concatenate((firsts[star], before[chain])), np.concatenate((ids[star], ids[chain]))
+        a, b = a[a != b], b[a != b]
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, fa, fb) that share enough positional bytes."""
+    for batch in batches:
+        if batch.num_rows:
+            fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((fa == fb).sum(1) >= MIN_SHARED))
+
+
+def candidates(marks: DataFrame, first: int, number: int) -> DataFrame:
+    """(a, b): pairs of ids that meet in a posting of the given triples; a posting gives at most two for a row."""
+    posted = marks.select(F.explode(F.slice("keys", first + 1, number)).alias("key"), "id")
+    return posted.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "a long, b long").distinct()
 
-    likely = written(both.mapInArrow(tally, "a long, b long"), "likely")
+
+def similar_pairs(docs: DataFrame, marks: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have at least the Jaccard similarity."""
+    fps = marks.select("id", "fp")
+    both = pairs.join(fps.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(fps.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
+    likely = written(both.select("a", "b", "fa", "fb").mapInArrow(_tally, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    there = maybe_in(docs.select(id_col, text_col), id_col, wanted, "id", "_maybe").where("_maybe")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    there = maybe_in(texts, "id", wanted, "id", "_maybe").where("_maybe").select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +307,7 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, words: int =
                 packed = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
-    held = written(there.select(F.col(id_col).cast("long"), text_col).mapInArrow(sets, "id long, shingles binary"), "shingles")
+    held = written(there.mapInArrow(sets, "id long, shingles binary"), "shingles")
     full = likely.join(held.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,12 +323,22 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, words: int =
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each group of similar texts; rows without a similar one do not shuffle."""
-    linked = written(similar_pairs(docs, similarity, words, id_col, text_col), "links")
-    roots = written(components(linked), "groups")
-    stay = roots.groupBy("root").agg(F.min("v").alias("stay"))
-    gone = written(roots.join(stay, "root").where("v <> stay").select("v"), "gone")
-    return without(docs, id_col, gone, "v")
+    """docs with the smallest id of each group of similar texts; rows without a similar one do not shuffle.
+
+    Two rounds: the triples of one permutation contract large families of copies, and those of the other permutations
+    then search what stays, so that a family is not paired again in every posting that its members share.
+    """
+    marks = written(wide_fingerprints(docs, words, id_col, text_col).withColumnRenamed(id_col, "id"), "wide")
+    each = 8 * LANES // 3
+    active, lost = marks, []
+    for first, number in ((0, each), (each, each * (PERMUTATIONS - 1))):
+        pairs = written(candidates(active, first, number), "pairs")
+        linked = written(similar_pairs(docs, active, pairs, similarity, words, id_col, text_col), "links")
+        roots = written(components(linked), "groups")
+        stay = roots.groupBy("root").agg(F.min("v").alias("stay"))
+        lost.append(written(roots.join(stay, "root").where("v <> stay").select("v"), "gone"))
+        active = without(active, "id", lost[-1], "v")
+    return without(docs, id_col, lost[0].union(lost[1]), "v")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
