@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, whole_text
+from tessera.llm.common import table, text_map, whole_text
 
 BUCKETS = 256
 #: Offsets of the second and third byte of each kind of triplet.
@@ -96,7 +96,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(out, [id_col, "n_chars", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_chars long, fingerprint string")
+    return text_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_chars long, fingerprint string")
 
 
 def with_next(docs: DataFrame, per_range: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -135,7 +135,7 @@ def with_next(docs: DataFrame, per_range: int = 400, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["r", "id", "after", "packed"])
 
     sent = docs.select(F.col(id_col).cast("long"), whole_text(text_col).alias(text_col)).where(F.col(id_col).isNotNull())
-    return sent.mapInArrow(send, "r int, id long, after boolean, packed binary"), ranges
+    return text_map(sent, send, "r int, id long, after boolean, packed binary"), ranges
 
 
 def _ranged(ids: DataFrame, marks: list[int]) -> DataFrame:
@@ -181,7 +181,7 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     laid = sent.repartition(max(1, ranges // 4), "r").sortWithinPartitions("r", "after", "id", "packed")
-    return laid.mapInArrow(run, schema)
+    return text_map(laid, run, schema)
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, text_map
 
 # fixed values: the contract's phrases and labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -136,7 +136,7 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes], text_col: st
                 total.update(vocabulary.intersection(normalised(text.as_py()).split()))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
-    counts = docs.select(text_col).mapInArrow(run, "word binary, n long")
+    counts = text_map(docs.select(text_col), run, "word binary, n long")
     return {bytes(r["word"]): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -156,7 +156,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return text_map(docs.select(id_col, text_col), run, schema)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bucket_count, ranked, table, written
+from tessera.llm.common import bucket_count, ranked, table, text_map, written
 
 #: Entries of a worker's cache of pre-token ids; a full cache is emptied.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Where white space meets white space, or an end of the text, pre-tokens may reach over a space.
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
@@ -170,8 +170,9 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int, end_id: int, id_col: st
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        encode.cache.clear()  # workers live on for other stages
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
+    return text_map(docs.select(F.col(id_col).cast("long"), text_col), run, schema)
 
 
 def plan_bins(histogram: dict[int, int], cap: Capacity) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, whole_text
+from tessera.llm.common import table, text_map, whole_text
 
 #: Documents that train the scorers, about.
 SAMPLE = 8_000
@@ -211,7 +211,7 @@ def pattern_counts(docs: DataFrame, listed: frozenset[str] = NO_WORDS, text_col:
         task, pattern = zip(*total, strict=True) if total else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array(pattern, pa.int32()), pa.array(list(total.values()), pa.int64())], ["task", "pattern", "n"])
 
-    counts = docs.select(text_col).mapInArrow(run, "task int, pattern int, n long")
+    counts = text_map(docs.select(text_col), run, "task int, pattern int, n long")
     return counts.groupBy("task", "pattern").agg(F.sum("n").alias("n"))
 
 
@@ -233,7 +233,7 @@ def word_list(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, id_c
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32()), strict=True)], ["word", "context", "toxic"])
 
-    seen = texts.mapInArrow(run, "word string, context long, toxic int").groupBy("word", "context").agg(F.min("toxic").alias("toxic"))
+    seen = text_map(texts, run, "word string, context long, toxic int").groupBy("word", "context").agg(F.min("toxic").alias("toxic"))
     counts = seen.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     # a document's words are toxic contexts at the rate of toxic documents; far above it, a word is a mark
     marks = counts.where("bad >= 6 AND bad >= 0.96 * n").orderBy(F.desc("bad"), "word").limit(MOST_WORDS)
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, p_junk double, p_abuse double, s_junk double, s_abuse double, score double, kept boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return text_map(docs.select(id_col, text_col), run, schema)
 
 
 def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -304,7 +304,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
             keep = [max(model.scores(t.as_py() or "")[2:]) <= 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_map(docs, run, docs.schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

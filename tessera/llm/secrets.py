@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import table
+from tessera.llm.common import table, text_map
 
 # fixed values: the contract's base patterns and least lengths
 KINDS = ("assign", "access", "hex", "literal")
@@ -153,7 +153,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return text_map(docs.select(id_col, text_col), run, schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

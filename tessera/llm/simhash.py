@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, maybe_in, table, without, written
+from tessera.llm.common import components, maybe_in, table, text_map, without, written
 
 MAX_BITS = 3
 #: Any five of eight positions hold three in one half: the guarantee 8 - 3 = 5.
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return text_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, fp long")
 
 
 def _byte(at: int) -> Column:
@@ -253,7 +253,7 @@ def wide_fingerprints(docs: DataFrame, words: int = SIMILAR_WORDS, id_col: str =
                 )
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
-    return source.mapInArrow(run, f"{id_col} long, fp binary, keys array<long>")
+    return text_map(source, run, f"{id_col} long, fp binary, keys array<long>")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +307,7 @@ def similar_pairs(docs: DataFrame, marks: DataFrame, pairs: DataFrame, similarit
                 packed = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
-    held = written(there.mapInArrow(sets, "id long, shingles binary"), "shingles")
+    held = written(text_map(there, sets, "id long, shingles binary"), "shingles")
     full = likely.join(held.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(held.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
