@@ -15,14 +15,15 @@ its neighbours are looked up by flipping at most three of the 24 free bits: time
 Defined cases: null counts as empty; a text without words has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle. Equal fingerprints are always one component. Repeated rows stay as they are.
 
-Similar texts (``similar_groups``, for the pipeline): at a Jaccard similarity of 0.8 about 15 % of the bits differ,
-so no number of shared bytes is guaranteed. Fingerprints are 512 bits wide there, the index posts sets of three
-positional bytes, pairs are tallied by shared positional bytes over the whole width, and pairs that reach the
-expected minimum are verified on the words themselves.
+Similar texts (``similar_groups``, for the pipeline): at a Jaccard similarity of 0.8 about 15 % of a SimHash's bits
+differ, so no number of shared bytes is guaranteed. There the sets of distinct shingles are joined exactly: postings of
+the prefixes of a common order, rare shingles first; sizes, places in the order and parity marks rule out only pairs
+that are provably below; what is left is verified on the sets, and the links' components are taken at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -57,26 +58,13 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """Lane 0 is the hash itself; further lanes are fixed bijections of it."""
-    if lane == 0:
-        return h
-    x = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(hashes: np.ndarray, lanes: int = 1) -> bytes:
-    """Big-endian bits, 64 to a lane: one where over half the hashes have one. No hashes: zero."""
-    n, out = len(hashes), []
-    for lane in range(lanes):
-        total = np.zeros(64, np.int64)
-        for lo in range(0, n, _SPAN):
-            h = np.ascontiguousarray(_mixed(hashes[lo : lo + _SPAN], lane).astype(">u8"))
-            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(np.packbits(total * 2 > n).tobytes())
-    return b"".join(out)
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """Big-endian bits, 64: one where over half the hashes have one. No hashes: zero."""
+    n, total = len(hashes), np.zeros(64, np.int64)
+    for lo in range(0, n, _SPAN):
+        h = np.ascontiguousarray(hashes[lo : lo + _SPAN].astype(">u8"))
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,93 +206,174 @@ def near_groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_co
     )
 
 
-#: For similar texts: 512 bits; triples of the 64 positional bytes, PERMUTATIONS times a third of them.
-LANES = 8
-PERMUTATIONS = 8
-#: Of 64 positional bytes two texts of Jaccard similarity 0.8 share 17 (deviation 4), unrelated ones a quarter of one.
-MIN_SHARED = 6
-#: So many of a posting's members are also linked to the one before; beyond, a posting is a dense family of copies.
-CHAINED = 64
+#: For similar texts: words of a shingle, and the least Jaccard similarity of the sets of shingles.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
+#: Documents, about, that tell which shingles are frequent, and the most that are told apart. Both only choose the
+#: order of the shingles; under any order the same pairs are found.
+ORDER_SAMPLE = 10_000
+MOST_FREQUENT = 500_000
+#: Bits of a mark, and pairs that are looked at together.
+MARK_BITS = 512
+_PAIRS_AT_ONCE = 1 << 20
 
 
-def wide_triples(lanes: int = LANES, permutations: int = PERMUTATIONS) -> np.ndarray:
-    """Rows of three byte positions: disjoint triples of a few fixed random orders of the positions."""
-    rng, size = np.random.default_rng(4), 8 * lanes
-    return np.concatenate([rng.permutation(size)[: size // 3 * 3].reshape(-1, 3) for _ in range(permutations)])
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
 
-def wide_fingerprints(docs: DataFrame, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp binary of 8 x LANES bytes, keys array<long>: a posting key for each triple)."""
-    triples = wide_triples()
-    base = np.arange(len(triples), dtype=np.int64) << 24
+def frequent_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, times) of the shingles that several documents of a sample hold; source is (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                fps = [fingerprint(shingle_hashes(t.as_py(), words), LANES) for t in part.column(1)]
-                b = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1).astype(np.int64)
-                keys = base + (b[:, triples[:, 0]] << 16 | b[:, triples[:, 1]] << 8 | b[:, triples[:, 2]])
-                cuts = pa.array(np.arange(len(fps) + 1, dtype=np.int32) * len(triples))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(fps, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))], [id_col, "fp", "keys"]
-                )
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], ["h"])
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col)
-    return text_map(source, run, f"{id_col} long, fp binary, keys array<long>")
+    every = max(1, source.count() // ORDER_SAMPLE)
+    some = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
+    times = text_map(some, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = times.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    hashes = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, id): each id of a posting with the posting's first, the first CHAINED also with the one before."""
-    key, first, last, seen = None, 0, 0, 0
-    for batch in batches:
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
-            continue
-        new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-        rows = np.arange(len(keys))
-        start = np.maximum.accumulate(np.where(new, rows, -1))
-        firsts = np.where(start >= 0, ids[np.maximum(start, 0)], first)
-        place = np.where(start >= 0, rows - start, rows + seen)
-        before = np.concatenate(([last], ids[:-1]))
-        key, first, last, seen = keys[-1], firsts[-1], ids[-1], int(place[-1]) + 1
-        star, chain = ~new, ~new & (place < CHAINED) & (before != firsts)
-        a, b = np.concatenate((firsts[star], before[chain])), np.concatenate((ids[star], ids[chain]))
-        a, b = a[a != b], b[a != b]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, fa, fb) that share enough positional bytes."""
-    for batch in batches:
-        if batch.num_rows:
-            fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array((fa == fb).sum(1) >= MIN_SHARED))
+def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in an order that all texts share, rare ones first: similar sets have one of them in common.
+
+    A set without members has a place of its own, under zero.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)
+    hashes, times = frequent
+    often = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        often = np.where(hashes[at] == shingles, times[at], 0)
+    return shingles[np.lexsort((shingles, often))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
 
+def mark(shingles: np.ndarray) -> bytes:
+    """Parities of the members by hash: two marks differ in no more bits than the sets have members apart."""
+    parity = np.bincount((shingles % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(parity.astype(bool)).tobytes()
 
-def candidates(marks: DataFrame, first: int, number: int) -> DataFrame:
-    """(a, b): pairs of ids that meet in a posting of the given triples; a posting gives at most two for a row."""
-    posted = marks.select(F.explode(F.slice("keys", first + 1, number)).alias("key"), "id")
-    return posted.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_stars, "a long, b long").distinct()
 
+def prefixes(source: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(id, n, mark, keys): the number of distinct shingles, their mark and their prefix; source is (id, text)."""
+    frequent = frequent_shingles(source, words)
 
-def similar_pairs(docs: DataFrame, marks: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sets = [shingle_set(t.as_py(), words) for t in part.column(1)]
+                keys = [prefix(s, frequent, similarity) for s in sets]
+                cuts = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
+                keyed = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys).view(np.int64)))
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([mark(s) for s in sets], pa.binary()), keyed]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "mark", "keys"])
+
+    return text_map(source, run, "id long, n int, mark binary, keys array<long>")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole postings, of rows sorted by key."""
+    held: dict[str, list[np.ndarray]] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {name: batch.column(name).to_numpy() for name in batch.schema.names}
+        cut = int(np.searchsorted(now["key"], now["key"][-1]))  # the last posting may go on
+        if held and (cut or held["key"][0][0] != now["key"][0]):
+            yield {name: np.concatenate([*held[name], now[name][:cut]]) for name in now}
+            held = {}
+        elif cut:
+            yield {name: now[name][:cut] for name in now}
+        for name in now:
+            held.setdefault(name, []).append(now[name][cut:])
+    if held:
+        yield {name: np.concatenate(parts) for name, parts in held.items()}
+
+
+def _edges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each row's posting, and the row behind its last."""
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    return np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, without the postings of one row."""
+    for rows in _postings(batches):
+        start, end = _edges(rows["key"])
+        keep = end - start > 1
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows.values()], list(rows))
+
+
+def _possible(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows a, b, without those that the sizes and the places in the order rule out.
+
+    In the posting of a pair's first common shingle, all its common shingles stand at that place or behind it.
+    """
+    n, rest = rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["pos"]
+    keep = (np.minimum(rest[a], rest[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6) & (rows["id"][a] != rows["id"][b])
+    if keep.any():
+        x, y = rows["id"][a[keep]], rows["id"][b[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: each with the first and the one before of its posting. Finds most families, not all links."""
+    for rows in _postings(batches):
+        at = np.arange(len(rows["key"]))
+        start, _ = _edges(rows["key"])
+        yield from _possible(rows, start[at > start], at[at > start], similarity)
+        yield from _possible(rows, at[at > start + 1] - 1, at[at > start + 1], similarity)
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, root): every pair of a posting whose roots differ."""
+    for rows in _postings(batches):
+        _, end = _edges(rows["key"])
+        block = np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["root"][1:] != rows["root"][:-1])))
+        bounds = np.append(np.flatnonzero(block), len(end))
+        at, other = np.arange(len(end)), bounds[np.cumsum(block)]  # other: the row behind those of the same root
+        live = other < end
+        at, other = at[live], other[live]
+        while len(at):
+            for lo in range(0, len(at), _PAIRS_AT_ONCE):
+                yield from _possible(rows, at[lo : lo + _PAIRS_AT_ONCE], other[lo : lo + _PAIRS_AT_ONCE], similarity)
+            other = other + 1
+            live = other < end[at]
+            at, other = at[live], other[live]
+
+
+def similar_pairs(source: DataFrame, marks: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have at least the Jaccard similarity."""
-    fps = marks.select("id", "fp")
-    both = pairs.join(fps.withColumnsRenamed({"id": "a", "fp": "fa"}), "a").join(fps.withColumnsRenamed({"id": "b", "fp": "fb"}), "b")
-    likely = written(both.select("a", "b", "fa", "fb").mapInArrow(_tally, "a long, b long"), "likely")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ma, mb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in ("ma", "mb"))
+                n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+                apart = np.bitwise_count(ma ^ mb).sum(1, dtype=np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array(apart <= n * (1 - 2 * similarity / (1 + similarity)) + 1e-6))
+
+    of = lambda side: marks.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("mark").alias(f"m{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    likely = written(both.mapInArrow(near, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    there = maybe_in(texts, "id", wanted, "id", "_maybe").where("_maybe").select("id", "text")
+    there = maybe_in(source, "id", wanted, "id", "_maybe").where("_maybe").select("id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                packed = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in part.column(1)]
+                packed = [shingle_set(t.as_py(), words).tobytes() for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
 
     held = written(text_map(there, sets, "id long, shingles binary"), "shingles")
@@ -322,23 +391,35 @@ def similar_pairs(docs: DataFrame, marks: DataFrame, pairs: DataFrame, similarit
     return full.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the smallest id of each group of similar texts; rows without a similar one do not shuffle.
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(v, root) for every id with a similar one: exactly the components of all similar pairs.
 
-    Two rounds: the triples of one permutation contract large families of copies, and those of the other permutations
-    then search what stays, so that a family is not paired again in every posting that its members share.
+    Two rounds over the same postings. The first links most members of large families; the second compares every pair
+    of a posting that the first has not already connected, so no member leaves before all its links are known.
     """
-    marks = written(wide_fingerprints(docs, words, id_col, text_col).withColumnRenamed(id_col, "id"), "wide")
-    each = 8 * LANES // 3
-    active, lost = marks, []
-    for first, number in ((0, each), (each, each * (PERMUTATIONS - 1))):
-        pairs = written(candidates(active, first, number), "pairs")
-        linked = written(similar_pairs(docs, active, pairs, similarity, words, id_col, text_col), "links")
-        roots = written(components(linked), "groups")
-        stay = roots.groupBy("root").agg(F.min("v").alias("stay"))
-        lost.append(written(roots.join(stay, "root").where("v <> stay").select("v"), "gone"))
-        active = without(active, "id", lost[-1], "v")
-    return without(docs, id_col, lost[0].union(lost[1]), "v")
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = written(prefixes(source, similarity, words), "prefixes")
+    posted = marks.select("id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", "pos")
+    schema = "key long, id long, n int, pos int"
+    shared = written(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema), "shared")
+    mixed = shared.withColumn("_at", F.xxhash64("key", "id")).repartition("key").sortWithinPartitions("key", "_at").drop("_at")
+    starred = written(mixed.mapInArrow(lambda batches: _stars(batches, similarity), "a long, b long").distinct(), "pairs")
+    first = written(similar_pairs(source, marks, starred, similarity, words), "links")
+    roots = written(components(first), "groups").withColumnRenamed("v", "id")
+    rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "n", "pos", "root")
+    laid = rooted.repartition("key").sortWithinPartitions("key", "root")
+    crossing = laid.mapInArrow(lambda batches: _crossing(batches, similarity), "a long, b long").distinct()
+    left = written(crossing.join(starred, ["a", "b"], "left_anti"), "pairs")
+    second = written(similar_pairs(source, marks, left, similarity, words), "links")
+    return components(first.union(second))
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the smallest id of each group of similar texts; rows without a similar one do not shuffle."""
+    roots = written(similar_groups(docs, similarity, words, id_col, text_col), "groups")
+    stay = roots.groupBy("root").agg(F.min("v").alias("stay"))
+    gone = written(roots.join(stay, "root").where("v <> stay").select("v"), "gone")
+    return without(docs, id_col, gone, "v")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

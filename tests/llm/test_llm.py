@@ -320,6 +320,38 @@ def test_similar_texts_against_brute_force(spark):
     assert links > 50 and stay <= kept and len(kept - stay) <= 0.05 * (len(texts) - len(stay))
 
 
+def edited(words, at):
+    return [f"edit{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def shingles_of(words):
+    return set(zip(*[words[i:] for i in range(5)], strict=False))
+
+
+def jaccard(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b) / len(a | b)
+
+
+def distinct_words(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_chains_of_similar_texts_are_one_group(spark):
+    rng = random.Random(21)
+    rows, firsts = [], set()
+    for _ in range(150):
+        b = distinct_words(rng, 204)
+        a, c = edited(b, {10, 40}), edited(b, {100, 130, 160})
+        assert jaccard(a, b) >= 0.8 and jaccard(b, c) >= 0.8
+        c = edited(c, {190})
+        assert jaccard(b, c) >= 0.8 > jaccard(a, c)
+        firsts.add(len(rows))
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((a, b, c))]
+    kept = {r.doc_id for r in simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == firsts
+
+
 # --- 5 digests
 
 
