@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -352,6 +353,27 @@ def test_chains_of_similar_texts_are_one_group(spark):
     assert kept == firsts
 
 
+def test_similar_pairs_in_a_family_with_shared_boilerplate(spark):
+    rng = random.Random(22)
+    shared = distinct_words(rng, 160)
+    texts = [shared + distinct_words(rng, 50) for _ in range(300)]
+    texts += [edited(t, {20, 60, 120, 190}) for t in texts[:100]]
+    assert jaccard(texts[0], texts[300]) >= 0.8 > 0.7 > jaccard(texts[0], texts[1])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_dissimilar(df).collect()} == set(range(300))
+
+
+def test_a_posting_compares_every_pair_that_is_not_yet_connected():
+    rng = random.Random(23)
+    rows = sorted((rng.randrange(12), rng.randrange(6), i) for i in range(300))
+    columns = {"key": [k for k, _, _ in rows], "id": [i for *_, i in rows], "n": [100] * 300, "pos": [0] * 300, "root": [r for _, r, _ in rows]}
+    whole = pa.RecordBatch.from_pydict(columns)
+    want = {(min(i, j), max(i, j)) for k, r, i in rows for m, s, j in rows if k == m and r != s}
+    for size in (7, 64, 300):
+        got = simhash._crossing((whole.slice(lo, size) for lo in range(0, 300, size)), 0.8)
+        assert {p for b in got for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)} == want
+
+
 # --- 5 digests
 
 
