@@ -374,6 +374,25 @@ def test_a_posting_compares_every_pair_that_is_not_yet_connected():
         assert {p for b in got for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)} == want
 
 
+def test_similar_sets_meet_whatever_their_repeats_and_lengths(spark):
+    rng = random.Random(24)
+    texts = []
+    for i in range(60):
+        line = distinct_words(rng, 14)
+        body = line + distinct_words(rng, 86)
+        texts += [body + line, body + line * (6 + i % 20)]
+    for n in (5, 9, 20, 60, 404):
+        for _ in range(30):
+            words = distinct_words(rng, n + 4)
+            copy = list(words)
+            while jaccard(copy[:-1] + ["edit"], words) >= 0.8 and len(copy) > 5:
+                copy.pop()
+            texts += [words, copy]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_dissimilar(df).collect()} == set(range(0, len(texts), 2))
+
+
 # --- 5 digests
 
 
