@@ -33,11 +33,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20}
 
 THRESHOLD = 0.5
-MOST_LITERAL = 4096
 _OPERATOR = re.compile(r":=|=>|[:=]")
 _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}[ \t]{0,8}$""")
-_QUOTED = {q: re.compile(rf"[ \t]{{0,8}}{q}([^{q}\n\\]{{1,{MOST_LITERAL}}}){q}") for q in "\"'`"}
-_BARE = re.compile(r"""[ \t]{0,8}([^\s"'`,;(){}\[\]<>]{1,4096})""")
+#: The same without a longest name, from the start of its run of characters; tried where _NAME's window may be too short.
+_LONG_NAME = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{0,2}[ \t]{0,8}$""")
+_CUT_NAME = re.compile(r"""[A-Za-z0-9_.\-]{80}["'\]]{0,2}[ \t]{0,8}$""")
+_QUOTED = {q: re.compile(rf"[ \t]{{0,8}}{q}(?!{q})([^{q}\n\\]*+(?:\\.[^{q}\n\\]*+)*+){q}") for q in "\"'`"}
+_BARE = re.compile(r"""[ \t]{0,8}([^\s"'`,;(){}\[\]<>]++)""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a part of a target name is; pairs count together.
@@ -63,9 +65,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def pairs(text: str) -> list[tuple[str, str, int, int]]:
     """(name, value, start, end) of each assignment; start and end are the value's, -1 for a value that is a name."""
-    out = []
+    out, before = [], 0
     for m in _OPERATOR.finditer(text):
-        left = _NAME.search(text[max(0, m.start() - 92) : m.start()])
+        near = text[max(0, m.start() - 92) : m.start()]
+        left = _NAME.search(near)
+        if (not left or len(left[1]) == 80) and _CUT_NAME.search(near):
+            left = _LONG_NAME.search(text[before : m.start()])  # a name holds no operator
+        before = m.end()
         if not left:
             continue
         at = m.end()
@@ -120,13 +126,13 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
                 score[source] = 0.95 * score[name]
                 if source in behind:
                     queue.append(source)
-    out = set()
+    out, assigned = set(), {name for name, *_ in found}
     for name, value, start, end in found:
         target = score[name]
         if start >= 0:
             if target and target * looks_random(value) >= THRESHOLD:
                 out.add((start, 3, end))
-        elif target and any(c.isdigit() for c in value) and target * looks_random(value) >= THRESHOLD and value not in score:
+        elif target and any(c.isdigit() for c in value) and target * looks_random(value) >= THRESHOLD and value not in assigned:
             out.add((end, 3, end + len(value)))
     return sorted(out)
 

@@ -493,6 +493,24 @@ def test_constants_are_propagated():
     assert secrets.literal_spans("") == [] and secrets.scan("")[4] == ""
 
 
+def test_literals_of_any_form_and_length_are_reported():
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefXYZ0123456789") for _ in range(6000))
+    cases = {
+        "DB_PWD=s3cr3tPassw0rd9": "s3cr3tPassw0rd9",
+        "passphrase: hunter2abcXYZ": "hunter2abcXYZ",
+        "signing_key = aK39dkQ02mZ": "aK39dkQ02mZ",
+        r'{"private_key": "-----BEGIN\nMIIEv9Qx7\n"}': r"-----BEGIN\nMIIEv9Qx7\n",
+        f'db_pwd = "{long}"': long,
+        f"db_pwd = {long}+/": long + "+/",
+        "pwd_" + "n" * 100 + ' = "Zk3v9QpL7wTa"': "Zk3v9QpL7wTa",
+        "x=1\npwd_" + "9" * 100 + ' = "Zk3v9QpL7wTa"': "Zk3v9QpL7wTa",
+    }
+    for text, literal in cases.items():
+        assert [text[a:b] for a, _, b in secrets.literal_spans(text)] == [literal]
+    assert secrets.literal_spans("value7abcXY = read()\ndb_pwd = value7abcXY") == []
+
+
 # --- 8 exact
 
 
