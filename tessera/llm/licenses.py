@@ -1,7 +1,7 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates.
 
-Blocks are the lines of a document; a long line is cut into overlapping windows, so that any run of WINDOW / 2 words
-lies whole in one block. A block matches a template when it holds at least THRESHOLD of the template's distinct words.
+Blocks are the lines of a document and overlapping windows over all its words, across line feeds, so that any run of
+WINDOW / 2 words lies whole in one block however it is wrapped. A block matches a template when it holds at least THRESHOLD of the template's distinct words.
 The join is exact: template words are ordered by how many documents of the whole corpus hold them, rarest first; a
 block that reaches the needed overlap must hold one of the template's first (size - needed + 1) words (prefix), have
 enough template words (length), and leave enough of both orders behind that word (position); what is left is verified.
@@ -94,14 +94,17 @@ class Index:
                     yield label, overlap / len(words)
 
 
+def windows(words: list[bytes]) -> Iterator[set[bytes]]:
+    for lo in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+        yield set(words[lo : lo + WINDOW])
+
+
 def blocks(text: bytes) -> Iterator[set[bytes]]:
-    for line in text.split(b"\n"):
-        words = line.split()
-        if len(words) <= WINDOW:
-            yield set(words)
-        else:
-            for lo in range(0, len(words) - WINDOW // 2, WINDOW // 2):
-                yield set(words[lo : lo + WINDOW])
+    lines = text.split(b"\n")
+    for line in lines:
+        yield from windows(line.split())
+    if len(lines) > 1:
+        yield from windows(text.split())
 
 
 def scan(text: bytes, index: Index) -> tuple:

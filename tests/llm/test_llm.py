@@ -126,6 +126,21 @@ def test_license_labels(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_notices_are_compared_whole():
+    index = licenses.Index(licenses.TEMPLATES, {})
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met",
+        "gpl": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense",
+    }
+    for label, notice in notices.items():
+        for before in (0, 31, 100):
+            text = "word " * before + "\n" + notice + "\n" + "word " * 50
+            assert label in licenses.scan(licenses.normalised(text), index)[5].split(",")
+    r = licenses.scan(licenses.normalised(notices["mit"]), index)
+    assert r[5] == "mit" and r[6] == 1.0
+
+
 # --- 2 packing
 
 
