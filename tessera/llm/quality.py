@@ -54,12 +54,21 @@ FUNCTION_WORDS = frozenset(
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[%*&$#|<>{}\[\]^~=+\\@_]+")
 _TAIL = re.compile(r"[%*&$#|<>{}\[\]^~=+\\@_!]+(?=\s|$)")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+_CAPITALS = bytes(range(0x41, 0x5B))
 N_LABELLERS = (7, 3)
 #: The most bad votes that a labeller is taken to cast on good documents.
 FALSE_BAD = 0.005
 NO_WORDS: frozenset[str] = frozenset()
 
 
+def upper_letters(text: str) -> int:
+    """Characters of the whole text that are upper case; A-Z are counted as bytes."""
+    data = text.encode()
+    beyond = 0 if len(data) == len(text) else sum(map(str.isupper, _BEYOND.findall(text)))
+    return len(data) - len(data.translate(None, _CAPITALS)) + beyond
+
+
 def votes(text: str, listed: frozenset[str] = NO_WORDS) -> tuple[tuple[int, ...], tuple[int, ...], list[str]]:
     """Votes of the junk and the abuse labellers (1 bad, -1 good, 0 abstain), and the lower-cased words."""
     words = _WORD.findall(text.lower())
@@ -74,7 +83,7 @@ def votes(text: str, listed: frozenset[str] = NO_WORDS) -> tuple[tuple[int, ...]
 
     symbols = sum(map(len, _SYMBOLS.findall(text)))
     letters = sum(map(len, words)) or 1
-    upper = sum(map(str.isupper, text)) if n < 50 else sum(map(str.isupper, text[:: max(1, len(text) // 5000)])) * max(1, len(text) // 5000)
+    upper = upper_letters(text)
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
     distinct = set(words)
     junk = (

@@ -624,3 +624,11 @@ def test_classifier_edge_cases(spark, docs, rows, empty):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.fit(empty) is None and quality.score(empty, None).count() == quality.keep_good(empty, None).count() == 0
+
+
+def test_upper_case_is_counted_over_the_whole_text():
+    rng = random.Random(10)
+    record = "R" + "".join(rng.choice("abcdefgh ") for _ in range(98)) + "\n"
+    assert quality.votes(record * 5000)[0][2] == -1
+    for text in ("", "aBC", "ÄÖü Ω ß", prose(rng, 300) + "É" * 40 + "ABC" * 7):
+        assert quality.upper_letters(text) == sum(map(str.isupper, text))
