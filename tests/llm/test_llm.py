@@ -575,6 +575,17 @@ def test_passages_find_planted_and_fuzzy_repeats(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_with_many_edits_are_found(spark):
+    rng = random.Random(25)
+    rows = []
+    for i in range(200):
+        passage = distinct_words(rng, 80)
+        for copy in (passage, edited(passage, set(rng.sample(range(80), 12)))):
+            rows.append((len(rows), " ".join(distinct_words(rng, rng.randint(5, 60)) + copy + distinct_words(rng, rng.randint(5, 60)))))
+    got = {(r.partner_id, r.doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(i, i + 1) for i in range(0, 400, 2)} and len(got) >= 0.95 * 200
+
+
 def test_chain_matches_a_quadratic_version():
     rng = random.Random(12)
     for _ in range(50):
