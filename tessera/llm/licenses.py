@@ -1,22 +1,26 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates.
 
-Blocks are the lines of a document and overlapping windows over all its words, across line feeds, so that any run of
-WINDOW / 2 words lies whole in one block however it is wrapped. A block matches a template when it holds at least THRESHOLD of the template's distinct words.
-The join is exact: template words are ordered by how many documents of the whole corpus hold them, rarest first; a
-block that reaches the needed overlap must hold one of the template's first (size - needed + 1) words (prefix), have
-enough template words (length), and leave enough of both orders behind that word (position); what is left is verified.
-The order comes from a first pass over all documents that returns one count for each template word.
+A block is a run of words, over line feeds too; a template is met where a run of at most SPREAD times its words holds,
+in the template's order, at least THRESHOLD of its distinct words. So neither wrapping nor a few other words between
+hide a notice, and words scattered over a paragraph don't make one. The join is exact: windows that overlap by half and
+hold any such run whole are candidates; template words are ordered by how many documents of the whole corpus hold them,
+rarest first; a window that reaches the needed overlap must hold one of the template's first (size - needed + 1) words
+(prefix), have enough template words (length), and leave enough of both orders behind that word (position); what is
+left is verified by the longest ascending run of places. The order comes from a first pass over all documents that
+returns one count for each template word.
 
 Base labels come from fixed phrases at every place their words stand consecutively.
 
 Defined cases: null counts as empty. A document without words has zero counts, null places and empty labels. The
-score is 1 with a base phrase, else the best containment that reaches the threshold, else 0.
+score is 1 with a base phrase, else the best share of a template that reaches the threshold, else 0. Repeated rows are
+scanned each; ids are handed on as they are, null too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -47,17 +51,17 @@ TEMPLATES = [
     ("reserved", "copyright all rights reserved"),
 ]
 THRESHOLD = 0.8
-WINDOW = 64
+SPREAD = 1.5
 
 _SEPARATORS = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 10 if b == 10 else 32
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32
     for b in range(256)
 )
 _BASE = [(re.compile(rb"(?<= )%s(?= )" % p.encode()), label) for p, label in PHRASES.items()]
 
 
 def normalised(text: str | None) -> bytes:
-    """A-Z lower-cased, separators as spaces, line feeds kept."""
+    """A-Z lower-cased, separators as spaces."""
     return (text or "").encode().translate(_SEPARATORS)
 
 
@@ -66,45 +70,61 @@ class Index:
 
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float = THRESHOLD) -> None:
         self.rank = {w: i for i, w in enumerate(sorted({w for _, t in templates for w in t.encode().split()}, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates: list[tuple[str, frozenset[bytes], int]] = []
+        #: label, place of each distinct word in the template, words that are needed, longest run.
+        self.templates: list[tuple[str, dict[bytes, int], int, int]] = []
         self.prefix: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for label, text in templates:
-            words = sorted(set(text.encode().split()), key=self.rank.__getitem__)
+            every = text.encode().split()
+            places = {w: i for i, w in enumerate(dict.fromkeys(every))}
+            words = sorted(places, key=self.rank.__getitem__)
             needed = math.ceil(threshold * len(words) - 1e-9)
-            self.templates.append((label, frozenset(words), needed))
+            self.templates.append((label, places, needed, math.ceil(SPREAD * len(every))))
             for at, word in enumerate(words[: len(words) - needed + 1]):
                 self.prefix[word].append((len(self.templates) - 1, at))
         self.vocabulary = frozenset(self.rank)
         self.first = frozenset(self.prefix)
+        self.half = max((run for *_, run in self.templates), default=1)
 
-    def matches(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of every template that the block holds to the threshold."""
-        own = sorted(block & self.vocabulary, key=self.rank.__getitem__)
+    def candidates(self, window: set[bytes]) -> Iterator[int]:
+        """Templates of which the window holds the needed words, in any order."""
+        own = sorted(window & self.vocabulary, key=self.rank.__getitem__)
         seen = set()
         for j, word in enumerate(own):
             for t, i in self.prefix.get(word, ()):
                 if t in seen:
                     continue
                 seen.add(t)  # the first shared word in the order: what follows bounds the overlap
-                label, words, needed = self.templates[t]
-                if len(own) < needed or 1 + min(len(words) - i, len(own) - j) - 1 < needed:
+                _, places, needed, _ = self.templates[t]
+                if len(own) < needed or min(len(places) - i, len(own) - j) < needed:
                     continue
-                overlap = len(words.intersection(own))
-                if overlap >= needed:
-                    yield label, overlap / len(words)
-
-
-def windows(words: list[bytes]) -> Iterator[set[bytes]]:
-    for lo in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-        yield set(words[lo : lo + WINDOW])
-
-
-def blocks(text: bytes) -> Iterator[set[bytes]]:
-    lines = text.split(b"\n")
-    for line in lines:
-        yield from windows(line.split())
-    if len(lines) > 1:
-        yield from windows(text.split())
+                if len(places.keys() & window) >= needed:
+                    yield t
+
+    def best(self, t: int, words: list[bytes]) -> int:
+        """Most words of the template that a run of the words, no longer than allowed, holds in the template's order."""
+        _, places, _, run = self.templates[t]
+        found = [(i, places[w]) for i, w in enumerate(words) if w in places]
+        most = 0
+        for k, (start, _) in enumerate(found):
+            tails: list[int] = []
+            for i, place in found[k:]:
+                if i >= start + run:
+                    break
+                at = bisect_left(tails, place)
+                tails[at : at + 1] = [place]
+            most = max(most, len(tails))
+        return most
+
+    def matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, share) of every template that a run of the words meets."""
+        for lo in range(0, max(1, len(words) - self.half), self.half):
+            window = words[lo : lo + 2 * self.half]
+            distinct = set(window)
+            if not self.first.isdisjoint(distinct):
+                for t in self.candidates(distinct):
+                    label, places, needed, _ = self.templates[t]
+                    if (most := self.best(t, window)) >= needed:
+                        yield label, most / len(places)
 
 
 def scan(text: bytes, index: Index) -> tuple:
@@ -121,11 +141,9 @@ def scan(text: bytes, index: Index) -> tuple:
     last = joined.count(b" ", 0, max(starts)) - 1 if starts else None
     labels, score = set(base), 1.0 if base else 0.0
     if not index.first.isdisjoint(words):
-        for block in blocks(text):
-            if not index.first.isdisjoint(block):
-                for label, containment in index.matches(block):
-                    labels.add(label)
-                    score = max(score, containment)
+        for label, share in index.matches(words):
+            labels.add(label)
+            score = max(score, share)
     return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
