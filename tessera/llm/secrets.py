@@ -1,13 +1,19 @@
 """Secret scan by assignment-aware lexing.
 
-Three base patterns give the base spans. Beside them a small lexer reads source and configuration syntax - ``name =
-"literal"``, ``name: literal``, ``"name" => 'literal'``, ``name := literal`` - into name-literal pairs and name-name
-pairs. A name assigned to another name passes its sensitivity on to the literals behind it (constants are propagated
-to a fixed point within the document), and each literal is scored by how sensitive its target names are and how
-little it looks like prose or a placeholder. Literals that reach the threshold become spans of kind ``literal``.
+Three base patterns give the base spans. Beside them a lexer reads source and configuration syntax into pairs of a
+name and what it is given: ``name = "literal"``, ``name: type = ...``, ``"name": 'literal'``, ``name => ...``,
+``table["name"] = ...``, ``<name>literal</name>``, ``key="name" value="literal"``, ``name("literal")`` and
+``call("name", "literal")``. What is given is a string (prefixes, escapes, triple quotes), a bare value, a
+concatenation of parts, a list or tuple of them, or the arguments of a call. A name given to another name passes its
+sensitivity on to the literals behind it (constants are propagated to a fixed point within the document), and each
+literal is scored by how sensitive its target names are and how little it looks like prose or a placeholder; the parts
+of a concatenation are scored as one. Literals that reach the threshold become spans of kind ``literal``, one for each
+part. A bare value in the form of a name is a literal if it has a digit and nothing assigns that name.
 
 Defined cases: null counts as empty. A document without a span has zero counts and empty strings. Offsets are code
-points, end exclusive. Repeated rows are scanned each. Work per document is linear in its length and its assignments.
+points, end exclusive. Repeated rows are scanned each; ids are handed on as they are, null too. An empty table gives an
+empty result. Names, blanks and literals may have any length. Work per document is linear in its length and its
+assignments, but for lists inside lists, which are read once for each name that is given one.
 """
 
 from __future__ import annotations
@@ -33,13 +39,21 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20}
 
 THRESHOLD = 0.5
-_OPERATOR = re.compile(r":=|=>|[:=]")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,79})["'\]]{0,2}[ \t]{0,8}$""")
-#: The same without a longest name, from the start of its run of characters; tried where _NAME's window may be too short.
-_LONG_NAME = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{0,2}[ \t]{0,8}$""")
-_CUT_NAME = re.compile(r"""[A-Za-z0-9_.\-]{80}["'\]]{0,2}[ \t]{0,8}$""")
-_QUOTED = {q: re.compile(rf"[ \t]{{0,8}}{q}(?!{q})([^{q}\n\\]*+(?:\\.[^{q}\n\\]*+)*+){q}") for q in "\"'`"}
-_BARE = re.compile(r"""[ \t]{0,8}([^\s"'`,;(){}\[\]<>]++)""")
+#: A name, what may close around it, and an operator, before which a type may stand.
+_ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{0,2}[ \t]*+(?::[ \t]*+[A-Za-z_][A-Za-z0-9_.\[\]]*+[ \t]*+=(?![=>])|:=|=>|={1,3}|:)""")
+_CALLED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.]*+)\([ \t]*+(?=["'`])""")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1>")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name)[ \t]*+=[ \t]*+["']([^"'<>\n]++)["']\s++value[ \t]*+=[ \t]*+["'](?=([^"'<>\n]++))""")
+#: Blanks, also over the end of a line where a string or a bracket follows.
+_GAP = re.compile(r"""[ \t]*+(?:\\?\n\s*+(?=["'`(\[]|[fFrRbBuU]{1,2}["']))?""")
+_STRING = re.compile(
+    r"""(?:[fFrRbBuU]{1,2}(?=["'])|[@$](?="))?(?:\"{3}(?P<a>(?:[^"\\]|\\.|"(?!""))*+)"{3}|'{3}(?P<b>(?:[^'\\]|\\.|'(?!''))*+)'{3}"""
+    r"""|"(?P<c>[^"\n\\]*+(?:\\.[^"\n\\]*+)*+)"|'(?P<d>[^'\n\\]*+(?:\\.[^'\n\\]*+)*+)'|`(?P<e>[^`\\]*+(?:\\.[^`\\]*+)*+)`)""",
+    re.DOTALL,
+)
+_JOIN = re.compile(r"[ \t]*+(?:\\?\n[ \t]*+)?(?:\+|\.\.?|&)[ \t]*+(?:\\?\n[ \t]*+)?")
+_SPACE = re.compile(r"\s*+")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How sensitive a part of a target name is; pairs count together.
@@ -63,30 +77,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, value, start, end) of each assignment; start and end are the value's, -1 for a value that is a name."""
-    out, before = [], 0
-    for m in _OPERATOR.finditer(text):
-        near = text[max(0, m.start() - 92) : m.start()]
-        left = _NAME.search(near)
-        if (not left or len(left[1]) == 80) and _CUT_NAME.search(near):
-            left = _LONG_NAME.search(text[before : m.start()])  # a name holds no operator
-        before = m.end()
-        if not left:
-            continue
-        at = m.end()
-        look = text[at : at + 9].lstrip(" \t")[:1]
-        value = _QUOTED[look].match(text, at) if look in _QUOTED and look else _BARE.match(text, at)
-        if not value:
-            continue
-        name, literal = left[1], value[1]
-        if look not in ("'", '"', "`"):
-            literal = literal.rstrip(".:")
-            if _IDENTIFIER.match(literal):
-                out.append((name, literal, -1, value.start(1)))
-                continue
-        if literal:
-            out.append((name, literal, value.start(1), value.start(1) + len(literal)))
+#: (value, start, end); a name that is given has end -1.
+Part = tuple[str, int, int]
+
+
+def _one(text: str, at: int, bare: bool) -> tuple[Part | None, int]:
+    """The literal or name at a place, and where it ends; bare: whether a value without quotes may stand there."""
+    if m := _STRING.match(text, at):
+        kind = m.lastgroup
+        return (m[kind], m.start(kind), m.end(kind)), m.end()
+    if bare and (m := _BARE.match(text, at)):
+        value = m[0].rstrip(".:")
+        if _IDENTIFIER.match(value):
+            return (value, at, -1), at + len(value)
+        return ((value, at, at + len(value)), m.end()) if value else (None, at)
+    return None, at
+
+
+def _given(text: str, at: int, bare: bool = True) -> tuple[list[list[Part]], int]:
+    """What is given at a place, and where it ends: groups of parts; the parts of a group are one value."""
+    at = _GAP.match(text, at).end()
+    part, end = _one(text, at, bare)
+    if part is None:
+        return _inside(text, at + 1) if text[at : at + 1] in ("(", "[") else ([], at)
+    if part[2] < 0 and text[end : end + 1] == "(":  # a call: its arguments
+        groups, end = _inside(text, end + 1)
+        return groups, end
+    group = [part]
+    while True:
+        joined = _JOIN.match(text, end)
+        follows, after = _one(text, joined.end(), True) if joined else _one(text, _GAP.match(text, end).end(), False) if part[2] >= 0 else (None, end)
+        if follows is None or (part[2] >= 0 and text[part[1] - 1] not in "\"'`"):  # a bare value is a whole one
+            return [group], end
+        part, end = follows, after
+        group.append(part)
+
+
+def _inside(text: str, at: int) -> tuple[list[list[Part]], int]:
+    """The values inside brackets, up to the one that closes them or to what is no list of values."""
+    out: list[list[Part]] = []
+    while True:
+        at = _SPACE.match(text, at).end()
+        groups, end = _given(text, at, False) if text[at : at + 1] not in ("", ")", "]") else ([], at)
+        if not groups:
+            name = _BARE.match(text, at)
+            if not name or text[at : at + 1] in (")", "]", "="):
+                return out, at + (text[at : at + 1] in (")", "]"))
+            end = name.end()  # a number or a name among the values; a name may be given a value of its own
+            if "=" in name[0] or ":" in name[0]:
+                return out, at
+        out += groups
+        at = _SPACE.match(text, end).end()
+        if text[at : at + 1] == ",":
+            at += 1
+
+
+def pairs(text: str) -> list[tuple[str, list[Part]]]:
+    """(name, parts of one value) of each assignment; no parts where nothing is read from what is given."""
+    out: list[tuple[str, list[Part]]] = []
+    for m in _ASSIGNED.finditer(text):
+        out += [(m[1], group) for group in _given(text, m.end())[0] or [[]]]
+    if "(" in text:
+        for m in _CALLED.finditer(text):
+            groups, _ = _inside(text, m.end())
+            out += [(m[1], group) for group in groups]
+            if len(groups) > 1 and len(groups[0]) == 1:
+                out += [(groups[0][0][0], group) for group in groups[1:]]
+    if "</" in text:
+        out += [(m[1], [(m[2], m.start(2), m.end(2))]) for m in _ELEMENT.finditer(text)]
+    if "value" in text:
+        out += [(m[1], [(m[2], m.start(2), m.end(2))]) for m in _ATTRIBUTES.finditer(text)]
     return out
 
 
@@ -114,26 +174,23 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
         return []
     score: dict[str, float] = defaultdict(float)
     behind: dict[str, list[str]] = defaultdict(list)
-    for name, value, start, _ in found:
+    for name, parts in found:
         score[name] = max(score[name], sensitivity(name))
-        if start < 0:
-            behind[name].append(value)
-    queue = [n for n, s in score.items() if s and n in behind]
+        behind[name] += [value for value, _, end in parts if end < 0]
+    queue = [n for n, s in score.items() if s and behind[n]]
     while queue:  # each step raises a score, of which there are few values
         name = queue.pop()
         for source in behind[name]:
             if score[source] < 0.95 * score[name] - 1e-9:
                 score[source] = 0.95 * score[name]
-                if source in behind:
+                if behind.get(source):
                     queue.append(source)
-    out, assigned = set(), {name for name, *_ in found}
-    for name, value, start, end in found:
+    out, assigned = set(), {name for name, _ in found}
+    for name, parts in found:
         target = score[name]
-        if start >= 0:
-            if target and target * looks_random(value) >= THRESHOLD:
-                out.add((start, 3, end))
-        elif target and any(c.isdigit() for c in value) and target * looks_random(value) >= THRESHOLD and value not in assigned:
-            out.add((end, 3, end + len(value)))
+        literals = [p for p in parts if p[2] >= 0 or (any(map(str.isdigit, p[0])) and p[0] not in assigned)]
+        if target and literals and target * looks_random("".join(value for value, *_ in literals)) >= THRESHOLD:
+            out.update((start, 3, start + len(value)) for value, start, _ in literals if value)
     return sorted(out)
 
 
