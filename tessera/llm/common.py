@@ -28,41 +28,64 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of an Arrow batch while a table is written: bounds the memory of Python workers where texts are long.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the scratch folder: cuts lineage and survives the loss of executors."""
+    """df as a Parquet table in the scratch folder: cuts lineage and survives the loss of executors.
+
+    Arrow batches have BATCH_BYTES at most while it is written; the session's own setting holds before and after.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    own = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, own)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every scratch table; call it once the results that read them are stored. Runs at exit as well."""
-    while _written:
+def release(since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables written since there were ``since``, but the last ``keep``; call it once the results that
+    read them are stored. All go at exit."""
+    kept = _written[len(_written) - keep :] if keep else []
+    del _written[len(_written) - keep :]
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         except (Py4JError, AttributeError, OSError):
-            return  # the session is gone
+            break  # the session is gone
+    _written.extend(kept)
 
 
-atexit.register(release)
+def tables_written() -> int:
+    return len(_written)
 
 
-#: Rows of an Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 2500
+atexit.register(release)
 
 
 def text_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """df.mapInArrow(run, schema). Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
     return df.mapInArrow(run, schema)
 
 
+#: Rows that a table may have to be broadcast whole.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table as the small side of a join: broadcast where its rows are counted to be few."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

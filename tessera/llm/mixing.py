@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, whole_text, written
+from tessera.llm.common import small, table, whole_text, written
 
 RANGES = 4096
 
@@ -129,16 +129,16 @@ def take_epochs(rows: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id") -> Da
         F.expr("cast(leaf_budget DIV leaf_tokens AS int)").alias("_whole"),
         F.expr("leaf_budget % leaf_tokens").alias("_rest"),
     )
-    # a row for each leaf: bounded by the domains, languages and sources there are, not by documents
+    # a row for each leaf; where sources are as many as hosts, a join by shuffle is left to the optimiser
     budgets = written(budgets, "budgets")
-    hashed = rows.join(F.broadcast(budgets), LEAF).withColumn("_h", _hash(mix.seed, F.col("_whole"), F.col(id_col)))
+    hashed = rows.join(small(budgets), LEAF).withColumn("_h", _hash(mix.seed, F.col("_whole"), F.col(id_col)))
     hashed = hashed.withColumn("_range", F.shiftright("_h", 60 - RANGES.bit_length() + 1).cast("int"))
     sums = hashed.groupBy(*LEAF, "_range").agg(F.sum("_tokens").alias("_sum"))
     before = Window.partitionBy(*LEAF).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    cut = sums.join(F.broadcast(budgets.select(*LEAF, "_rest")), LEAF).where("_start <= _rest AND _start + _sum > _rest")
+    cut = sums.join(small(budgets.select(*LEAF, "_rest")), LEAF).where("_start <= _rest AND _start + _sum > _rest")
     cut = written(cut.select(*LEAF, F.col("_range").alias("_cut"), F.col("_start")), "cuts")
-    marked = hashed.join(F.broadcast(cut), LEAF, "left")
+    marked = hashed.join(small(cut), LEAF, "left")
     order = Window.partitionBy(*LEAF).orderBy("_h", id_col)  # the default frame takes ties together
     ends = marked.where("_range = _cut").withColumn("_more", (F.col("_start") + F.sum("_tokens").over(order) <= F.col("_rest")).cast("int"))
     others = marked.where("_range <> _cut").withColumn("_more", (F.col("_range") < F.col("_cut")).cast("int"))
