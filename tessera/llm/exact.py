@@ -22,8 +22,8 @@ from tessera.llm.common import table, whole_text, written
 BITS_PER_ROW = 16
 MOST_BITS = 1 << 27
 PROBES = 2
-#: Parts over which the rows of one hash are dealt when they meet their group.
-SALTS = 32
+#: Groups of over so many rows, or a LARGE-th of all, are met by broadcast: LARGE at most.
+LARGE, LARGE_ROWS = 1024, 1000
 
 
 def _positions(text: Column, bits: int) -> list[Column]:
@@ -63,13 +63,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = possibly_repeated(docs.select(id_col, text_col), text, bits=bits)
     rows = written(flagged.select(id_col, F.sha2(text, 256).alias("text_sha256"), "_maybe"), "hashes")
     maybe = rows.where("_maybe").drop("_maybe")
-    groups = maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(maybe.groupBy("text_sha256").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     same_row = Window.partitionBy("text_sha256", id_col).orderBy(id_col)
-    # one hash may hold a third of all rows: its rows are dealt over salts, its group's one row is repeated for each
-    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
-    numbered = maybe.withColumn("_copy", F.row_number().over(same_row)).withColumn("_salt", salt)
-    salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = numbered.join(salted, ["text_sha256", "_salt"])
+    numbered = maybe.withColumn("_copy", F.row_number().over(same_row))
+    # one hash may hold a third of all rows: groups of that kind are few and go to their rows
+    large = F.col("group_size") > max(LARGE_ROWS, rows.count() // LARGE)
+    met = numbered.join(F.broadcast(groups.where(large)), "text_sha256", "left")
+    others = met.where("group_size IS NULL").drop("keep_id", "group_size").join(groups.where(~large), "text_sha256")
+    joined = met.where("group_size IS NOT NULL").unionByName(others)
     shuffled = joined.select(
         id_col, "keep_id", "group_size",
         (F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1)).alias("kept"), "text_sha256",
