@@ -18,11 +18,13 @@ class Settings:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     llm_temperature: float = 0.1
+    #: Chunks that an ingest embeds and stores at a time; a broken run goes on behind the last such slice.
+    commit_chunks: int = 50_000
 
     def __post_init__(self) -> None:
         bounds = {
             "chunk_size_tokens": (64, 4096), "chunk_overlap_tokens": (0, 2048), "min_chunk_chars": (0, None), "retrieval_candidates": (1, 500),
-            "retrieval_top_k": (1, 100), "rrf_k": (1, None), "embedding_dim": (1, None), "llm_temperature": (0, 2),
+            "retrieval_top_k": (1, 100), "rrf_k": (1, None), "embedding_dim": (1, None), "commit_chunks": (1, None), "llm_temperature": (0, 2),
         }
         for name, (low, high) in bounds.items():
             value = getattr(self, name)

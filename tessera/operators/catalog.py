@@ -47,6 +47,11 @@ def recent_runs(runs: DataFrame, limit: int = 20, started: str = "started_at", k
     return runs.orderBy(F.desc(started), key).limit(limit)
 
 
+def run(runs: DataFrame, run_id: object) -> DataFrame:
+    """The run of an id."""
+    return runs.where(F.col("run_id") == F.lit(run_id))
+
+
 def run_results(results: DataFrame, run_id: object, created: str = "created_at") -> DataFrame:
     return results.where(F.col("run_id") == F.lit(run_id)).orderBy(created)
 

@@ -61,7 +61,10 @@ def refusals(queries: DataFrame, sources: DataFrame, query_id: str = "query_id")
 
 
 def generate(queries: DataFrame, sources: DataFrame, models: list[Callable[[list[str]], list[str]]], query_id: str = "query_id") -> DataFrame:
-    """(query, text) by an injected chain of models: the first whose reply works answers."""
+    """(query, text, error, ms) by an injected chain of models: the first whose reply works answers.
+
+    A question that no model answers has a null text and an error; the others are not touched by it.
+    """
 
     def chain(prompts: list[str]) -> list[str]:
         failed: Exception | None = None

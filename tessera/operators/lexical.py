@@ -50,16 +50,26 @@ def top_k(scored: DataFrame, query_id: str, id_col: str, score: str, k: int) ->
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text", allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query id, id, score) for every match, score to 6 places. allowed (query id, id) scopes before ranking.
+    """(query id, id, score) for every match of a corpus that is tokenised for it."""
+    return scores_of_postings(queries, postings(corpus, id_col, text_col), corpus_stats(corpus, id_col, text_col), query_id, query_text, id_col, allowed, k1, b)
 
-    Statistics come from the whole corpus. Postings are cut to the batch's terms before they meet the queries, so
+
+def stored_stats(lengths: DataFrame, dl: str = "dl") -> DataFrame:
+    """corpus_stats() from the stored numbers of tokens."""
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(dl), F.lit(1.0)).alias("avgdl"))
+
+
+def scores_of_postings(queries: DataFrame, posted: DataFrame, stats: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query id, id, score) for every match, score to 6 places, from postings and the row of corpus_stats(); allowed
+    (query id, id) scopes before ranking.
+
+    Statistics are those of the whole corpus. Postings are cut to the batch's terms before they meet the queries, so
     the shuffled part follows the queries' vocabulary.
     """
-    posted = postings(corpus, id_col, text_col)
     asked = query_terms(queries, query_id, query_text)
     live = posted.join(asked.select("term").distinct(), "term", "left_semi")
     # one row of totals, joined by broadcast of proven size
-    stats = F.broadcast(corpus_stats(corpus, id_col, text_col).withColumn("_one", F.lit(1)))
+    stats = F.broadcast(stats.withColumn("_one", F.lit(1)))
     weighted = live.join(term_stats(live), "term").withColumn("_one", F.lit(1)).join(stats, "_one")
     weighted = weighted.select(
         id_col, "term", (document_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b) * idf(F.col("n"), F.col("df"))).alias("w")
@@ -72,3 +82,27 @@ def bm25_scores(queries: DataFrame, corpus: DataFrame, query_id: str, query_text
 
 def bm25_top_k(queries: DataFrame, corpus: DataFrame, query_id: str, query_text: str, k: int, id_col: str = "doc_id", text_col: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     return top_k(bm25_scores(queries, corpus, query_id, query_text, id_col, text_col, allowed), query_id, id_col, "score", k)
+
+
+def stored_top_k(queries: DataFrame, posted: DataFrame, stats: DataFrame, query_id: str, query_text: str, k: int, id_col: str = "doc_id", allowed: DataFrame | None = None) -> DataFrame:
+    """bm25_top_k() from stored postings: no text is tokenised but the queries'."""
+    return top_k(scores_of_postings(queries, posted, stats, query_id, query_text, id_col, allowed), query_id, id_col, "score", k)
+
+
+def vocabulary(posted: DataFrame) -> DataFrame:
+    """(term, term_id): distinct terms numbered from 0 in their order, without a task that holds them all.
+
+    Terms are laid out in ranges; a range's first number is the size of the ranges before it.
+    """
+    laid = posted.select("term").distinct().repartitionByRange("term").withColumn("_range", F.spark_partition_id())
+    sizes = laid.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("term")) - 1
+    return laid.withColumn("_place", place).join(F.broadcast(starts), "_range").select("term", (F.col("_start") + F.col("_place")).alias("term_id"))
+
+
+def sparse_queries(queries: DataFrame, terms: DataFrame, query_id: str = "query_id", query_text: str = "text") -> DataFrame:
+    """(query id, term_ids): the batch as sparse vectors over a vocabulary; all weights are 1, unknown terms vanish."""
+    known = query_terms(queries, query_id, query_text).join(terms, "term")
+    return known.groupBy(query_id).agg(F.array_sort(F.collect_list("term_id")).alias("term_ids"))

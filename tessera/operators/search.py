@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -74,22 +75,42 @@ def reranked_flag(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
 
 
 def model_replies(prompts: DataFrame, model: Callable[[list[str]], list[str]], query_id: str = "query_id", prompt: str = "passages", reply: str = "reply") -> DataFrame:
-    """(query, reply) through an injected model that answers a list of prompts."""
+    """(query, reply, error, ms) through an injected model that answers a list of prompts.
+
+    Where it fails on a list, each prompt is asked alone, so one that can't be answered gets an error and a null reply
+    and takes no other with it. ms is the time of a call by its prompts.
+    """
+
+    def asked(texts: list[str]) -> list[tuple[str | None, str | None, float]]:
+        began = time.perf_counter()
+        try:
+            got = model(texts)
+            if len(got) != len(texts):
+                raise ValueError(f"the model returned {len(got)} replies for {len(texts)} prompts")
+            error = [None] * len(got)
+        except Exception as e:  # whatever a model raises must not end the run
+            if len(texts) > 1:
+                return [row for text in texts for row in asked([text])]
+            got, error = [None], [f"{type(e).__name__}: {e}"]
+        ms = 1000 * (time.perf_counter() - began) / len(texts)
+        return [(g, e, ms) for g, e in zip(got, error, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = model([p or "" for p in batch.column(1).to_pylist()]) if batch.num_rows else []
-            if len(got) != batch.num_rows:
-                raise ValueError(f"the model returned {len(got)} replies for {batch.num_rows} prompts")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], [query_id, reply])
+            if batch.num_rows:
+                columns = zip(*asked([p or "" for p in batch.column(1).to_pylist()]), strict=True)
+                made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], [query_id, reply, "error", "ms"])
 
     kind = prompts.schema[query_id].dataType.simpleString()
-    return prompts.select(query_id, prompt).mapInArrow(run, f"{query_id} {kind}, {reply} string")
+    return prompts.select(query_id, prompt).mapInArrow(run, f"{query_id} {kind}, {reply} string, error string, ms double")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings = Settings(), limit: int | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings = Settings(), limit: int | None = None, posted: DataFrame | None = None) -> DataFrame:
     """Fused hits (query_id, chunk_id, fusion_score, rank) of a batch of queries (query_id, text, embedding[, doc_id]).
 
+    With stored postings (chunk_id, dl, term, tf), chunks have their number of tokens as dl, and none is tokenised.
+
     Both retrievers fetch OVERFETCH times the limit. Where queries have a doc_id that is not null, both are scoped to
     that document before they rank.
     """
@@ -101,7 +122,10 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, settings:
         if part is None:
             continue
         allowed = part.select("query_id", "doc_id").join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id") if scope else None
-        found = lexical.bm25_top_k(part, chunks, "query_id", "text", fetch, "chunk_id", "content", allowed)
+        if posted is None:
+            found = lexical.bm25_top_k(part, chunks, "query_id", "text", fetch, "chunk_id", "content", allowed)
+        else:
+            found = lexical.stored_top_k(part, posted, lexical.stored_stats(chunks), "query_id", "text", fetch, "chunk_id", allowed)
         lists.append(found.select("query_id", F.lit("bm25").alias("retriever"), "chunk_id", "rank"))
         placed = vectors.join(chunks.select("chunk_id", "doc_id"), "chunk_id") if scope else vectors
         near = dense.cosine_top_k(part, placed, "query_id", "chunk_id", fetch, scope=scope)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import Settings
 from tessera.functions import quality as Q
 from tessera.functions import text as T
 from tessera.functions.headings import is_heading
 from tessera.operators import catalog, chunks, dense, grounding, lexical, metrics, pages, search
+from tessera.sources.files import dispatched, question_set, text_documents
+from tessera.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,13 +106,13 @@ def _assessed(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def c8_page_verdict(spark: SparkSession, sf: str) -> DataFrame:
     found = pages.assess(documents(spark, sf).select("doc_id", ascii_only(F.col("text")).alias("text")))
-    return found.select("doc_id", F.array_join("issues.category", ",").alias("issues"), "is_usable", (F.col("score") >= 0.9995).alias("is_perfect"))
+    return found.select("doc_id", F.array_join("issues.category", ",").alias("issues"), "is_usable", "score")
 
 
 @query
 def c10_document_quality(spark: SparkSession, sf: str) -> DataFrame:
     tally = F.array_join(F.transform("issues", lambda x: F.concat_ws(":", x["category"], x["n"].cast("string"))), ",")
-    return pages.document_summary(_assessed(spark, sf)).select("doc_id", "pages", "usable", "flagged", F.coalesce(tally, F.lit("")).alias("issues"))
+    return pages.document_summary(_assessed(spark, sf)).select("doc_id", "pages", "usable", "flagged", "coverage", "worst_score", F.coalesce(tally, F.lit("")).alias("issues"))
 
 
 @query
@@ -355,7 +360,7 @@ def i1_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def i3_refusals(spark: SparkSession, sf: str) -> DataFrame:
     asked = questions(spark, sf)
-    return grounding.refusals(asked, _bm25(spark, sf).where("score > 12"))
+    return grounding.refusals(asked, _bm25(spark, sf).where("score > 35"))
 
 
 @query
@@ -544,3 +549,196 @@ def l5_status(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def h12_point_count(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sources, the store and injected models
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as files; every seventh is cut inside a character, every fifth has another suffix."""
+    suffix = F.when(F.col("doc_id") % 5 == 3, ".md").when(F.col("doc_id") % 2 == 0, ".TXT").otherwise(".txt")
+    broken = F.concat(F.col("text").cast("binary"), F.lit(b"\xc3"))
+    return documents(spark, sf).select(
+        F.concat(F.lit("in/"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        F.when(F.col("doc_id") % 7 == 1, broken).otherwise(F.col("text").cast("binary")).alias("content"),
+    )
+
+
+@query
+def a1_text_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Readable and unreadable files; an unreadable one stops no other."""
+    return text_documents(dispatched(_files(spark, sf))[0])
+
+
+@query
+def a4_rejected_files(spark: SparkSession, sf: str) -> DataFrame:
+    return dispatched(_files(spark, sf))[1]
+
+
+def _store(spark: SparkSession) -> Store:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return Store(spark, f"{root or 'file://' + tempfile.mkdtemp(prefix='tessera-')}/store-{uuid.uuid4().hex}", 8)
+
+
+@query
+def a10_question_set(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions written as one JSON file and read back, with their graded sources."""
+    store = _store(spark)
+    asked = read(spark, sf, "benchmark").select(F.struct("text", F.create_map(F.col("item_id").cast("string"), F.col("item_id") % 3).alias("expected_sources")).alias("q"))
+    # the question set is one file by its format
+    whole = asked.agg(F.to_json(F.struct(F.array_sort(F.collect_list("q.text")).alias("texts"), F.collect_list("q").alias("questions"))).alias("value"))
+    whole.coalesce(1).write.text(f"{store.root}/questions")
+    asked, qrels = question_set(spark, f"{store.root}/questions")
+    return asked.join(qrels, "query_id").select("text", "key", "grade")
+
+
+@query
+def a7_upserted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth customer is replaced and some are new; then a replay of the same rows changes nothing."""
+    store, customers = _store(spark), read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    store.upsert("t", customers.where("c_custkey % 3 <> 0"), ["c_custkey"])
+    changed = customers.where("c_custkey % 10 = 0 OR c_custkey % 3 = 0").withColumn("c_name", F.upper("c_name"))
+    store.upsert("t", changed, ["c_custkey"])
+    return store.upsert("t", changed.where("c_custkey % 20 = 0"), ["c_custkey"])
+
+
+@query
+def a9_deleted(spark: SparkSession, sf: str) -> DataFrame:
+    store = _store(spark)
+    store.upsert("t", documents(spark, sf).select("doc_id", "lang"), ["doc_id"])
+    store.delete("t", read(spark, sf, "labels").select("doc_id"), ["doc_id"])
+    store.delete_document(7, ("t",))
+    return store.read("t")
+
+
+@query
+def a12_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """A log in two appends, the second with one more column."""
+    store, log = _store(spark), _log(spark, sf)
+    store.append("log", log.where("status = 'ready'").select("doc_id", "status"))
+    return store.append("log", log.where("status <> 'ready'").select("doc_id", "status", "content_hash"))
+
+
+@query
+def e4_word_budget_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks under an injected counter: words."""
+    made = chunks.chunk_pages(_headed_pages(spark, sf), 60, 15, count=lambda c: F.size(T.words(c)))
+    return made.withColumn("heading_path", F.array_join("heading_path", " > "))
+
+
+@query
+def e5_least_length(spark: SparkSession, sf: str) -> DataFrame:
+    """Short and blank chunks go; numbers were given before."""
+    made = chunks.chunk_pages(_headed_pages(spark, sf), 120, 30, min_chars=200)
+    return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("content")).alias("least"), F.max("chunk_index").alias("last"))
+
+
+@query
+def f10_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.vocabulary(lexical.postings(documents(spark, sf)))
+
+
+@query
+def f12_sparse_queries(spark: SparkSession, sf: str) -> DataFrame:
+    found = lexical.sparse_queries(questions(spark, sf), f10_vocabulary(spark, sf))
+    return found.select("query_id", F.array_join(F.transform("term_ids", lambda t: t.cast("string")), ",").alias("term_ids"))
+
+
+@query
+def f11_stored_search(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 from postings and numbers of tokens that were stored in two ingests."""
+    store, docs = _store(spark), documents(spark, sf)
+    for part in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")):
+        store.upsert("postings", lexical.postings(part), ["doc_id", "term"])
+        store.upsert("lengths", part.select("doc_id", F.size(T.search_tokens(F.col("text"))).alias("dl")), ["doc_id"])
+    stats = lexical.stored_stats(store.read("lengths"))
+    return lexical.stored_top_k(questions(spark, sf), store.read("postings"), stats, "query_id", "text", TOP)
+
+
+def _shapes(texts: list[str], task: str) -> list[list[float]]:
+    """A model whose vectors SQL can tell: characters and spaces."""
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+@query
+def g2_model_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    found = dense.embedded(documents(spark, sf), "doc_id", "text", _shapes, batch=7)
+    return found.select("doc_id", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("spaces"))
+
+
+@query
+def h1_overfetch(spark: SparkSession, sf: str) -> DataFrame:
+    """hybrid() fetches three times its limit from both retrievers before it fuses."""
+    asked = _vectors(spark, sf).withColumnRenamed("vec_id", "query_id").join(questions(spark, sf), "query_id").drop("label")
+    docs = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"))
+    return search.hybrid(asked, docs, _vectors(spark, sf).select(F.col("vec_id").alias("chunk_id"), "embedding"), limit=TOP)
+
+
+@query
+def h8_top_slice(spark: SparkSession, sf: str) -> DataFrame:
+    found = _hits(spark, sf).withColumns({"content": F.lit("text"), "final_rank": F.col("rank"), "final_score": F.col("fusion_score")})
+    return search.excerpts(found, 2).select("query_id", "chunk_id", "final_rank")
+
+
+@query
+def h11_indexed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.indexed_ids(read(spark, sf, "embeddings").unionByName(read(spark, sf, "embeddings")), "vec_id")
+
+
+def _echo(prompts: list[str]) -> list[str]:
+    if any(p.endswith("a.") for p in prompts):
+        raise RuntimeError("no answer")
+    return [str(len(p)) for p in prompts]
+
+
+def _out_of_shape(prompts: list[str]) -> list[str]:
+    raise ValueError("not a list of replies")
+
+
+@query
+def i2_generated(spark: SparkSession, sf: str) -> DataFrame:
+    """A chain whose first model always fails and whose second fails on some questions: only those have errors."""
+    asked = _answers(spark, sf).select("query_id", "text")
+    return grounding.generate(asked, _sources(spark, sf), [_out_of_shape, _echo]).select("query_id", "text", "error", (F.col("ms") >= 0).alias("timed"))
+
+
+@query
+def i8_api_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """Citations as a caller gets them: only sources that the answer names, in their order."""
+    built = grounding.build_answers(_answers(spark, sf).select("query_id", "text"), _sources(spark, sf)).where("grounded")
+    return built.select("query_id", F.explode("citations").alias("c")).select("query_id", F.col("c.rank").alias("rank"), F.col("c.content").alias("content"))
+
+
+@query
+def j1_source_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of pages; page 0 and no page give the document alone."""
+    page = F.when(F.col("turn") % 4 == 3, F.lit(None)).otherwise(F.col("turn"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", metrics.source_key(F.col("conv_id"), page).alias("key"))
+
+
+@query
+def j12_settings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(sorted(Settings(rrf_k=2).snapshot().items()), "name string, value string")
+
+
+@query
+def j13_failed_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """A reranker that always fails leaves the order of the fusion and no scores."""
+    found = _hits(spark, sf)
+    prompts = found.groupBy("query_id").agg(F.count(F.lit(1)).cast("string").alias("passages"))
+    replies = search.model_replies(prompts, _out_of_shape).select("query_id", "reply")
+    return search.apply_rerank(found, replies).select("query_id", "chunk_id", "rerank_score", "final_score", "final_rank")
+
+
+@query
+def k11_run(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.run(read(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderpriority"), 3)
+
+
+@query
+def l2_resumed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """After a run that broke behind the first half, the chunks that are left; ids are the same in both runs."""
+    made = chunks.chunk_pages(_headed_pages(spark, sf), 120, 30)
+    return catalog.pending_chunks(made, made.where("chunk_index % 2 = 0").select("chunk_id")).select("chunk_id", "doc_id", "chunk_index")

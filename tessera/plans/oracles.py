@@ -87,7 +87,14 @@ def _signals(source: str, keys: str) -> str:
             CASE WHEN common_ratio < 0.22 THEN 'scrambled_text' END, CASE WHEN alnum_ratio < 0.73 THEN 'broken_encoding' END,
             CASE WHEN word_count >= 10 AND mixed_ratio > 0.04 THEN 'mixed_case_glyphs' END, CASE WHEN suspect_ratio > 0.01 THEN 'suspect_symbols' END,
             CASE WHEN char_count > 400 AND hyphen_ratio > 0.004 THEN 'surviving_hyphens' END,
-            CASE WHEN word_count >= 40 AND single_ratio > 0.12 THEN 'fragmented_glyphs' END], lambda x: x IS NOT NULL) END AS issues FROM sig)"""
+            CASE WHEN word_count >= 40 AND single_ratio > 0.12 THEN 'fragmented_glyphs' END], lambda x: x IS NOT NULL) END AS issues,
+          CASE WHEN char_count < 50 THEN 0.0 ELSE least(1.0,
+            CASE WHEN common_ratio < 0.22 THEN greatest(0.0, least(1.0, common_ratio / 0.35::DOUBLE)) ELSE 1.0 END::DOUBLE
+            * CASE WHEN alnum_ratio < 0.73 THEN greatest(0.0, least(1.0, alnum_ratio / 0.80::DOUBLE)) ELSE 1.0 END::DOUBLE
+            * CASE WHEN word_count >= 10 AND mixed_ratio > 0.04 THEN greatest(0.0, 1.0 - mixed_ratio * 3) ELSE 1.0 END::DOUBLE
+            * CASE WHEN suspect_ratio > 0.01 THEN greatest(0.0, 1.0 - suspect_ratio * 20) ELSE 1.0 END::DOUBLE
+            * CASE WHEN char_count > 400 AND hyphen_ratio > 0.004 THEN greatest(0.0, 1.0 - hyphen_ratio * 40) ELSE 1.0 END::DOUBLE
+            * CASE WHEN word_count >= 40 AND single_ratio > 0.12 THEN greatest(0.0, 1.0 - single_ratio * 2) ELSE 1.0 END::DOUBLE) END::DOUBLE AS raw_score FROM sig)"""
 
 
 _DOCS = f"SELECT doc_id, {_ascii('text')} AS text FROM documents"
@@ -95,12 +102,12 @@ _CONV = f"SELECT conv_id AS doc_id, turn, {_ascii('text')} AS text FROM conversa
 _RATIOS = ", ".join(f"round({r}_ratio, 6)::DOUBLE AS {r}_ratio" for r in ("common", "alnum", "mixed", "suspect", "hyphen", "single"))
 ORACLES["c2_page_signals"] = f"WITH {_signals(_DOCS, 'doc_id')} SELECT doc_id, char_count::INT AS char_count, word_count::INT AS word_count, {_RATIOS} FROM sig"
 ORACLES["c8_page_verdict"] = f"""WITH {_signals(_DOCS, 'doc_id')}
-  SELECT doc_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS is_usable, len(issues) = 0 AS is_perfect FROM verdict"""
+  SELECT doc_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AND raw_score >= 0.45 AS is_usable, round(raw_score, 3) AS score FROM verdict"""
 ORACLES["c10_document_quality"] = f"""WITH {_signals(_CONV, 'doc_id, turn')},
   tally AS (SELECT doc_id, c, count(*) AS n FROM (SELECT doc_id, unnest(issues) AS c FROM verdict) GROUP BY ALL),
   lists AS (SELECT doc_id, string_agg(c || ':' || n, ',' ORDER BY n DESC, c) AS issues FROM tally GROUP BY doc_id)
   SELECT doc_id, count(*) AS pages, count(*) FILTER (len(v.issues) = 0) AS usable, count(*) FILTER (len(v.issues) > 0) AS flagged,
-         coalesce(any_value(l.issues), '') AS issues FROM verdict v LEFT JOIN lists l USING (doc_id) GROUP BY doc_id"""
+         round(count(*) FILTER (len(v.issues) = 0)::DOUBLE / count(*), 3) AS coverage, min(round(raw_score, 3)) AS worst_score, coalesce(any_value(l.issues), '') AS issues FROM verdict v LEFT JOIN lists l USING (doc_id) GROUP BY doc_id"""
 ORACLES["c11_routed_documents"] = f"""WITH {_signals(_CONV, 'doc_id, turn')}
   SELECT doc_id, count(*) AS n, CASE WHEN len(issues) = 0 THEN 'usable' ELSE 'flagged' END AS side FROM verdict GROUP BY ALL"""
 ORACLES["l5_status"] = f"""WITH {_signals(_CONV, 'doc_id, turn')},
@@ -202,14 +209,14 @@ ORACLES["d6_sections"] = f"""WITH {SECTIONS} SELECT doc_id, page_pos::INT AS pag
   section_title, body, coalesce(heading_path, '') AS heading_path FROM sections"""
 
 
-def _chunks(sections: str, budget: int, overlap: int) -> str:
+def _chunks(sections: str, budget: int, overlap: int, tokens=_tokens, least: int = 80) -> str:
     """CTEs after sections (doc_id, page_pos, page_number, section_no, section_title, heading_path, body) and the final SELECT."""
     return f"""{sections}, sents AS (SELECT *, {_sentences('body')} AS ss FROM sections WHERE body <> ''),
-  toks AS (SELECT *, list_transform(ss, lambda v: {_tokens('v')}) AS tk FROM sents), packs AS (SELECT *, {_ranges('tk', budget, overlap)} AS r FROM toks),
+  toks AS (SELECT *, list_transform(ss, lambda v: {tokens('v')}) AS tk FROM sents), packs AS (SELECT *, {_ranges('tk', budget, overlap)} AS r FROM toks),
   pieces AS (SELECT *, array_to_string(ss[r[i].lo + 1 : r[i].hi], ' ') AS content, i FROM packs, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i)),
   num AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page_pos, section_no, i) - 1)::INT AS chunk_index FROM pieces)
-  SELECT sha256(doc_id || '|' || chunk_index) AS chunk_id, doc_id, chunk_index, content, {_tokens('content')} AS token_count, page_number::INT AS page_number,
-         section_title, coalesce(heading_path, '') AS heading_path FROM num WHERE length(content) >= 80"""
+  SELECT sha256(doc_id || '|' || chunk_index) AS chunk_id, doc_id, chunk_index, content, {tokens('content')} AS token_count, page_number::INT AS page_number,
+         section_title, coalesce(heading_path, '') AS heading_path FROM num WHERE length(content) >= {least}"""
 
 
 ORACLES["e2_chunks"] = "WITH " + _chunks(SECTIONS, 120, 30)
@@ -281,7 +288,7 @@ ANSWERS = """answers AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, CASE
   cited AS (SELECT DISTINCT query_id, try_cast(unnest(regexp_extract_all(text, '\\[(\\d+)\\]', 1)) AS INT) AS rank FROM answers)"""
 ORACLES["i1_sources"] = f"WITH {ANSWERS} SELECT query_id, string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank) AS sources FROM sources GROUP BY query_id"
 ORACLES["i3_refusals"] = f"""WITH {LEX} SELECT item_id AS query_id, 'No evidence for this question was found in the indexed documents.' AS text, false AS grounded
-  FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM ranks WHERE rank <= 10 AND score > 12)"""
+  FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM ranks WHERE rank <= 10 AND score > 35)"""
 ORACLES["i4_citations"] = f"""WITH {ANSWERS} SELECT query_id, coalesce(string_agg(c.rank::VARCHAR, ',' ORDER BY c.rank), '') AS cited
   FROM answers LEFT JOIN cited c USING (query_id) GROUP BY query_id"""
 # markers whose number, leading zeros aside, is not 1 to 3
@@ -352,3 +359,39 @@ ORACLES["a5_content_hash"] = "SELECT doc_id, sha256(text) AS content_hash FROM d
 ORACLES["l1_new_inputs"] = """WITH f AS (SELECT doc_id, sha256(text) AS content_hash FROM documents)
   SELECT * FROM f WHERE content_hash NOT IN (SELECT content_hash FROM f JOIN labels USING (doc_id))"""
 ORACLES["l3_pending"] = "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)"
+
+# --- sources, the store and injected models
+
+_FILES = """files AS (SELECT doc_id, 'in/' || doc_id || CASE WHEN doc_id % 5 = 3 THEN '.md' WHEN doc_id % 2 = 0 THEN '.TXT' ELSE '.txt' END AS uri,
+    doc_id % 7 = 1 AS broken, text, CASE WHEN doc_id % 7 = 1 THEN encode(text) || '\\xC3'::BLOB ELSE encode(text) END AS content FROM documents)"""
+ORACLES["a1_text_scan"] = f"""WITH {_FILES} SELECT uri AS source_uri, 'txt' AS source_type, sha256(content) AS content_hash,
+  CASE WHEN NOT broken THEN text END AS raw_text, CASE WHEN broken THEN 'not UTF-8' END AS error_message FROM files WHERE doc_id % 5 <> 3"""
+ORACLES["a4_rejected_files"] = f"WITH {_FILES} SELECT uri AS source_uri, 'unsupported file type: md' AS reason FROM files WHERE doc_id % 5 = 3"
+ORACLES["a10_question_set"] = "SELECT text, item_id::VARCHAR AS key, (item_id % 3)::INT AS grade FROM benchmark"
+ORACLES["a7_upserted"] = "SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 OR c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS c_name, c_acctbal FROM customer"
+ORACLES["a9_deleted"] = "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id) WHERE doc_id <> 7"
+ORACLES["a12_appended"] = f"WITH {LOG} SELECT doc_id, status, CASE WHEN status <> 'ready' THEN content_hash END AS content_hash FROM log"
+_BY_WORDS = lambda c: f"{_WORDS.format(c)}::INT"
+ORACLES["e4_word_budget_chunks"] = "WITH " + _chunks(SECTIONS, 60, 15, _BY_WORDS)
+ORACLES["e5_least_length"] = f"""SELECT doc_id, count(*) AS n, min(length(content))::INT AS least, max(chunk_index) AS last
+  FROM (WITH {_chunks(SECTIONS, 120, 30, least=200)}) GROUP BY doc_id"""
+_VOCABULARY = f"{LEX}, terms AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM (SELECT DISTINCT term FROM post))"
+ORACLES["f10_vocabulary"] = f"WITH {_VOCABULARY} SELECT * FROM terms"
+ORACLES["f12_sparse_queries"] = f"WITH {_VOCABULARY} SELECT query_id, string_agg(term_id::VARCHAR, ',' ORDER BY term_id) AS term_ids FROM qt JOIN terms USING (term) GROUP BY query_id"
+ORACLES["f11_stored_search"] = ORACLES["f9_bm25_topk"]
+ORACLES["g2_model_vectors"] = "SELECT doc_id, length(text)::BIGINT AS chars, (length(text) - length(replace(text, ' ', '')))::BIGINT AS spaces FROM documents"
+ORACLES["h1_overfetch"] = _rrf(60, 1)
+ORACLES["h8_top_slice"] = f"WITH {HITS} SELECT query_id, chunk_id, rank AS final_rank FROM hits WHERE rank <= 2"
+ORACLES["h11_indexed_ids"] = "SELECT DISTINCT vec_id FROM embeddings"
+ORACLES["i2_generated"] = f"""WITH {ANSWERS}, asked AS (
+    SELECT query_id, text, string_agg('[' || rank || '] ' || content, chr(10) || chr(10) ORDER BY rank) AS block FROM answers JOIN sources USING (query_id) GROUP BY ALL)
+  SELECT query_id, CASE WHEN NOT suffix(text, 'a.') THEN length('Sources:' || chr(10) || chr(10) || block || chr(10) || chr(10) || 'Question: ' || text)::VARCHAR END AS text,
+         CASE WHEN suffix(text, 'a.') THEN 'RuntimeError: no answer' END AS error, true AS timed FROM asked"""
+ORACLES["i8_api_citations"] = ORACLES["i6_resolved_citations"]
+ORACLES["j1_source_keys"] = "SELECT conv_id, turn, CASE WHEN turn % 4 = 3 OR turn = 0 THEN conv_id::VARCHAR ELSE conv_id || ':' || turn END AS key FROM conversations"
+ORACLES["j12_settings"] = """SELECT * FROM (VALUES ('chunk_size_tokens', '400'), ('chunk_overlap_tokens', '80'), ('min_chunk_chars', '80'), ('retrieval_candidates', '40'),
+  ('retrieval_top_k', '6'), ('rrf_k', '2'), ('rrf_rank_base', '1'), ('embedding_dim', '768'), ('bm25_k1', '1.5'), ('bm25_b', '0.75'), ('llm_temperature', '0.1'),
+  ('commit_chunks', '50000')) AS t(name, value)"""
+ORACLES["j13_failed_rerank"] = f"WITH {HITS} SELECT query_id, chunk_id, NULL::DOUBLE AS rerank_score, fusion_score AS final_score, rank AS final_rank FROM hits"
+ORACLES["k11_run"] = "SELECT o_orderkey AS run_id, o_orderpriority FROM orders WHERE o_orderkey = 3"
+ORACLES["l2_resumed_chunks"] = f"SELECT chunk_id, doc_id, chunk_index FROM (WITH {_chunks(SECTIONS, 120, 30)}) WHERE chunk_index % 2 = 1"

@@ -18,7 +18,12 @@ def _kind(path: str = "path"):
 
 def raw_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(files, rejected) below path; files: source_uri, source_type, content_hash, content."""
-    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("source_type", _kind())
+    return dispatched(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def dispatched(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, rejected) of (path, content), by the suffix."""
+    every = found.withColumn("source_type", _kind())
     ok = F.col("source_type").isin(*SUPPORTED)
     files = every.where(ok).select(F.col("path").alias("source_uri"), "source_type", F.sha2("content", 256).alias("content_hash"), "content")
     bad = every.where(~ok).select(F.col("path").alias("source_uri"), F.concat(F.lit("unsupported file type: "), "source_type").alias("reason"))
@@ -33,7 +38,19 @@ def text_documents(files: DataFrame) -> DataFrame:
     return out.select("source_uri", "source_type", "content_hash", "raw_text", error.alias("error_message"))
 
 
-def paged_documents(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
+def pdf_pages(content: bytes) -> list[str]:
+    """Page texts by pypdf, where it is installed; an encrypted file is tried with an empty password."""
+    import io
+
+    from pypdf import PdfReader
+
+    reader = PdfReader(io.BytesIO(content))
+    if reader.is_encrypted and not reader.decrypt(""):
+        raise ValueError("the file is encrypted")
+    return [page.extract_text() or "" for page in reader.pages]
+
+
+def paged_documents(files: DataFrame, extract: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
     """Raw text of pdf files through ``extract`` (bytes to page texts), pages joined with form feeds and markers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

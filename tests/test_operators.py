@@ -2,7 +2,10 @@
 
 import json
 import math
+import os
+import pathlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -374,7 +377,13 @@ def test_store_versions(spark, tmp_path):
     store.delete_document(2, ("t", "absent"))
     assert sorted(r.doc_id for r in store.read("t").collect()) == [1, 3]
     store.vacuum("t")
-    assert store.versions("t") == [3]
+    assert store.versions("t") == [3] and sorted(r.doc_id for r in store.read("t").collect()) == [1, 3]
+    before = set(store.parts("t"))
+    store.upsert("t", spark.createDataFrame([(100, "z")], "doc_id long, v string"), ["doc_id"])
+    assert len(set(store.parts("t")) - before) == 1, "only the touched bucket is rewritten"
+    store.upsert("t", spark.createDataFrame([], "doc_id long, v string"), ["doc_id"])
+    store.delete("t", spark.createDataFrame([(1,), (3,), (100,)], "doc_id long"), ["doc_id"])
+    assert store.read("t").count() == 0 and store.read("t").columns == ["doc_id", "v"]
     with pytest.raises(ValueError):
         store.check_dimension(spark.createDataFrame([([1.0],)], "embedding array<float>"), 2)
 
@@ -391,7 +400,7 @@ def library(spark, tmp_path_factory):
     (root / "in" / "notes.md").write_text("no")
     files, rejected = raw_files(spark, f"{root}/in")
     assert [r.reason for r in rejected.collect()] == ["unsupported file type: md"]
-    store = Store(spark, f"{root}/store")
+    store = Store(spark, f"{root}/store", 4)
     done = engine.ingest(store, text_documents(files), dense.hash_embedder(32))
     assert sorted(r.status for r in done.collect()) == ["failed", "ready"]
     return root, store
@@ -414,6 +423,85 @@ def test_search_and_ask(spark, library):
     assert answers[0].grounded and answers[0].text == "It is the well [1]." and not answers[1].grounded and answers[1].text == grounding.REFUSAL
 
 
+def test_a_second_ingest_rewrites_only_touched_buckets(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    store, settings = Store(spark, f"{tmp_path}/store", 8), Settings(commit_chunks=2)
+    for i in range(6):
+        (tmp_path / "in" / f"a{i}.txt").write_text(f"Report {i}. " + BODY * (i + 2))
+    engine.ingest(store, text_documents(raw_files(spark, f"{tmp_path}/in")[0]), dense.hash_embedder(16), settings)
+    before = {name: set(store.parts(name)) for name in ("chunks", "vectors", "postings")}
+    assert store.read("chunks").count() == store.read("vectors").count() >= 6
+    (tmp_path / "in" / "b.txt").write_text("Another one. " + BODY * 3)
+    engine.ingest(store, text_documents(raw_files(spark, f"{tmp_path}/in")[0]), dense.hash_embedder(16), settings)
+    for name, parts in before.items():
+        assert len(set(store.parts(name)) - parts) == 1
+
+
+def test_a_broken_ingest_goes_on_behind_its_last_slice(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(5):
+        (tmp_path / "in" / f"a{i}.txt").write_text(f"Report {i}. " + BODY * 4)
+    store, settings = Store(spark, f"{tmp_path}/store", 8), Settings(commit_chunks=1)
+    mark = tmp_path / "calls"
+
+    def failing(texts, task):
+        with mark.open("a") as f:
+            f.write("x" * len(texts))
+        if mark.stat().st_size > 2:
+            raise dense.QuotaExhausted("no more")
+        return dense.hash_embedder(16)(texts, task)
+
+    raw = text_documents(raw_files(spark, f"{tmp_path}/in")[0])
+    with pytest.raises(Exception, match="no more"):
+        engine.ingest(store, raw, failing, settings)
+    held = store.read("vectors").count()
+    assert held >= 1 and {r.status for r in store.read("documents").collect()} == {"processing"}
+    mark.unlink()
+
+    def counting(texts, task):
+        with mark.open("a") as f:
+            f.write("x" * len(texts))
+        return dense.hash_embedder(16)(texts, task)
+
+    assert {r.status for r in engine.ingest(store, raw, counting, settings).collect()} == {"ready"}
+    assert mark.stat().st_size == store.read("chunks").count() - held and store.read("vectors").count() == store.read("chunks").count()
+
+
+def test_search_reads_postings_and_tokenises_no_chunk(spark, library):
+    _, store = library
+    asked = spark.createDataFrame([(0, "water supply of the town")], "query_id long, text string")
+    chunks_, posted = store.read("chunks"), store.read("postings")
+    served = lexical.stored_top_k(asked, posted.drop("doc_id"), lexical.stored_stats(chunks_), "query_id", "text", 5, "chunk_id")
+    plain = lexical.bm25_top_k(asked, chunks_, "query_id", "text", 5, "chunk_id", "content")
+    assert sorted(served.select("chunk_id", "score").collect()) == sorted(plain.select("chunk_id", "score").collect())
+    plan = served._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and not re.search("ReadSchema: struct<[^>]*content", plan)
+
+
+def test_failures_are_recorded_and_stop_nothing(spark, library):
+    _, store = library
+
+    def model(prompts):
+        if any("second" in p for p in prompts):
+            raise RuntimeError("quota")
+        return ["Yes [1]."] * len(prompts)
+
+    def no_rerank(prompts):
+        raise RuntimeError("down")
+
+    doc = store.read("documents").where("status = 'ready'").first().doc_id
+    questions = spark.createDataFrame([(0, "water supply"), (1, "the second well of the town")], "query_id long, text string").coalesce(1)
+    qrels = spark.createDataFrame([(0, doc, 2), (1, doc, 1)], "query_id long, key string, grade int")
+    r = engine.evaluate(store, questions, qrels, dense.hash_embedder(32), [model], name="failing", rerank=no_rerank).first()
+    assert (r.errors, r.scored_questions) == (1, 1) and r.mean_total_ms > 0
+    run = store.read("eval_runs").where("name = 'failing'").first().run_id
+    assert catalog.run(store.read("eval_runs"), run).count() == 1
+    rows = {x.query_id: x for x in catalog.run_results(store.read("eval_results"), run).collect()}
+    assert rows[1].error == "RuntimeError: quota" and rows[1].answer is None and rows[0].error is None and rows[0].total_ms >= rows[0].retrieval_ms > 0
+    hits = store.read("eval_hits").where(F.col("run_id") == run).collect()
+    assert hits and all(h.rerank_score is None and h.final_rank == h.rank for h in hits)
+
+
 def test_evaluate_stores_the_run(spark, library):
     _, store = library
     doc = store.read("documents").where("status = 'ready'").first().doc_id
@@ -421,13 +509,13 @@ def test_evaluate_stores_the_run(spark, library):
     qrels = spark.createDataFrame([(0, doc, 2)], "query_id long, key string, grade int")
     r = engine.evaluate(store, questions, qrels, dense.hash_embedder(32), [lambda ps: ["Yes [1]."] * len(ps)]).first()
     assert (r.recall, r.mrr, r.grounded, r.citation_precision, r.errors) == (1.0, 1.0, 1.0, 1.0, 0)
-    assert store.read("eval_runs").first().config["rrf_k"] == "60" and store.read("eval_results").count() == 1
+    assert store.read("eval_runs").where("name = 'unnamed'").first().config["rrf_k"] == "60"
 
 
 def test_stream_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text(BODY * 4)
-    store = Store(spark, f"{tmp_path}/store")
+    store = Store(spark, f"{tmp_path}/store", 4)
     for _ in range(2):
         q = stream_ingest(spark, f"{tmp_path}/in", store, f"{tmp_path}/check", dense.hash_embedder(16), once=True)
         q.awaitTermination(120)
@@ -440,7 +528,13 @@ def test_command_line(spark, library, tmp_path, capsys):
     assert cli.main(["--store", f"{tmp_path}/store", "ingest", f"{root}/in"]) == 1  # one file is rejected, one fails
     assert cli.main(["--store", f"{tmp_path}/store", "documents"]) == 0
     assert cli.main(["--store", f"{tmp_path}/store", "search", "water"]) == 0
+    assert cli.main(["--store", f"{tmp_path}/store", "ask", "water"]) == 0
     assert "water" in capsys.readouterr().out
+    assert cli.main(["--store", f"{tmp_path}/store", "check"]) == 0
+    store = Store(spark, f"{tmp_path}/store")
+    doc = store.read("documents").where("status = 'ready'").first().doc_id
+    assert cli.main(["--store", f"{tmp_path}/store", "delete", doc]) == 0 and cli.main(["--store", f"{tmp_path}/store", "delete", doc]) == 1
+    assert store.read("chunks").count() == 0
 
 
 @pytest.mark.parametrize("bad", [{"chunk_size_tokens": 10}, {"chunk_overlap_tokens": 400}, {"rrf_k": 0}, {"retrieval_candidates": 501}])
@@ -452,3 +546,17 @@ def test_settings_bounds(bad):
 def test_entry_contract(spark):
     queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(queries) and __spark_entry__.entry(spark).count() == 40
+
+
+def test_the_rest_works_without_the_llm_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    here = pathlib.Path(__spark_entry__.__file__).parent
+    for pipeline in (True, False):
+        copy = tmp_path / str(pipeline)
+        shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "*.json", *([] if pipeline else ["corpus_pipeline.py"])))
+        code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n == 'pipeline' or n.startswith('op')]"
+        done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
