@@ -13,7 +13,9 @@ most 2^24 distinct fingerprints, since its other three bytes are free, so a task
 its neighbours are looked up by flipping at most three of the 24 free bits: time in proportion to its members.
 
 Defined cases: null counts as empty; a text without words has fingerprint zero and is linked like any other; fewer
-words than a shingle make one shingle. Equal fingerprints are always one component. Repeated rows stay as they are.
+words than a shingle make one shingle. Equal fingerprints are always one component. Repeated rows stay as they are,
+null ids too; a component of null ids only has a null id. An empty table gives an empty result. Similar texts take
+integer ids; rows without one are kept and have no similar text.
 
 Similar texts (``similar_groups``, for the pipeline): at a Jaccard similarity of 0.8 about 15 % of a SimHash's bits
 differ, so no number of shared bytes is guaranteed. There the sets of distinct shingles are joined exactly: postings of
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, maybe_in, table, text_map, without, written
+from tessera.llm.common import components, maybe_in, small_batches, table, text_map, without, written
 
 MAX_BITS = 3
 #: Any five of eight positions hold three in one half: the guarantee 8 - 3 = 5.
@@ -106,34 +108,47 @@ def _flips(bits: list[int], most: int) -> np.ndarray:
 def forest(fps: np.ndarray, most: int = MAX_BITS, guaranteed: int = 8 - MAX_BITS, free: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a spanning forest over sorted distinct fingerprints at most ``most`` bits apart.
 
-    Breadth first: each fingerprint looks at those not reached yet. Pairs are tallied by shared positional bytes
-    before their bits are compared. Where more are left than there are ``free`` flips, the flips are looked up.
+    Breadth first: each fingerprint meets those not reached yet. Every pair is tallied by its shared positional bytes,
+    and those that reach the guaranteed number are verified by their bits. Where there are more fingerprints than
+    ``free`` flips, only the flips that are there are tallied, so the time is in proportion to the fingerprints.
     """
-    left, out = fps.astype(np.uint64), []
-    while len(left) > 1:
-        root, left = left[0], left[1:]
+    every, out = fps.astype(np.uint64), []
+    flips = free if free is not None and len(every) > len(free) else None
+    left = np.ones(len(every), bool) if flips is not None else np.arange(len(every))
+
+    def met(at: int) -> np.ndarray:
+        """Which of those left are linked to one; they are left no more."""
+        nonlocal left
+        if flips is not None:
+            want = every[at] ^ flips
+            there = np.minimum(np.searchsorted(every, want), len(every) - 1)
+            there = there[(every[there] == want) & left[there]]
+        else:
+            there = left
+        differ = every[there] ^ every[at]
+        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+        near = tally >= guaranteed
+        near[near] = np.bitwise_count(differ[near]) <= most
+        if flips is not None:
+            left[there[near]] = False
+        else:
+            left = there[~near]
+        return there[near]
+
+    for root in range(len(every)):
+        if flips is not None:
+            if not left[root]:
+                continue
+            left[root] = False
+        else:
+            if not len(left):
+                break
+            root, left = int(left[0]), left[1:]
         queue = [root]
         while queue and len(left):
-            at = queue.pop()
-            if free is not None and len(left) > len(free):
-                found = np.zeros(len(left), bool)
-                want = at ^ free
-                place = np.minimum(np.searchsorted(left, want), len(left) - 1)
-                found[place[left[place] == want]] = True
-            else:
-                differ = left ^ at
-                if len(left) > 64:
-                    shared = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-                    close = np.flatnonzero(shared >= guaranteed)
-                    found = np.zeros(len(left), bool)
-                    found[close[np.bitwise_count(differ[close]) <= most]] = True
-                else:
-                    found = np.bitwise_count(differ) <= most
-            if found.any():
-                near = left[found]
-                out += [(int(x), int(root)) for x in near]
-                queue += list(near)
-                left = left[~found]
+            near = met(queue.pop())
+            out += [(int(every[x]), int(every[root])) for x in near]
+            queue += near.tolist()
     return out
 
 
@@ -213,9 +228,11 @@ SIMILARITY = 0.8
 #: order of the shingles; under any order the same pairs are found.
 ORDER_SAMPLE = 10_000
 MOST_FREQUENT = 500_000
-#: Bits of a mark, and pairs that are looked at together.
-MARK_BITS = 512
-_PAIRS_AT_ONCE = 1 << 20
+#: Least and most bits of a mark, and rows of a posting that meet in one task.
+MARK_BITS = (512, 4096)
+BLOCK = 1024
+#: Pairs that a task looks at together.
+_PAIRS_AT_ONCE = 1 << 16
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -233,7 +250,8 @@ def frequent_shingles(source: DataFrame, words: int) -> tuple[np.ndarray, np.nda
     every = max(1, source.count() // ORDER_SAMPLE)
     some = source.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
     times = text_map(some, run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    found = times.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
+    with small_batches(source.sparkSession):
+        found = times.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
     hashes = found.column("h").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found.column("n").to_numpy()[order]
@@ -256,11 +274,42 @@ def prefix(shingles: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simila
 
 
 def mark(shingles: np.ndarray) -> bytes:
-    """Parities of the members by hash: two marks differ in no more bits than the sets have members apart."""
-    parity = np.bincount((shingles % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    """Parities of the members by hash: two marks differ in no more bits than the sets have members apart.
+
+    The number of bits follows the size of the set; halves laid on each other are the mark of half the bits.
+    """
+    bits = MARK_BITS[0]
+    while bits < min(len(shingles), MARK_BITS[1]):
+        bits *= 2
+    parity = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(bool)).tobytes()
 
 
+def apart(marks_a: np.ndarray, marks_b: np.ndarray) -> np.ndarray:
+    """Bits in which marks differ, place by place, each pair at the size of its smaller one; arrays of bytes objects."""
+    out = np.zeros(len(marks_a), np.int64)
+    size_a, size_b = (np.fromiter(map(len, m), np.int64, len(m)) for m in (marks_a, marks_b))
+    for a in np.unique(size_a):
+        for b in np.unique(size_b[size_a == a]):
+            at = np.flatnonzero((size_a == a) & (size_b == b))
+            x, y = (np.frombuffer(b"".join(m[at]), np.uint64).reshape(len(at), -1) for m in (marks_a, marks_b))
+            out[at] = np.bitwise_count(folded(x, min(a, b) // 8) ^ folded(y, min(a, b) // 8)).sum(1, dtype=np.int64)
+    return out
+
+
+def folded(marks: np.ndarray, width: int) -> np.ndarray:
+    """Marks (rows of 64-bit words) at the smaller size of ``width`` words."""
+    while marks.shape[1] > width:
+        half = marks.shape[1] // 2
+        marks = marks[:, :half] ^ marks[:, half:]
+    return marks
+
+
+def most_apart(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Members that sets of n members together may have apart at the similarity."""
+    return n * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+
+
 def prefixes(source: DataFrame, similarity: float, words: int) -> DataFrame:
     """(id, n, mark, keys): the number of distinct shingles, their mark and their prefix; source is (id, text)."""
     frequent = frequent_shingles(source, words)
@@ -279,15 +328,16 @@ def prefixes(source: DataFrame, similarity: float, words: int) -> DataFrame:
     return text_map(source, run, "id long, n int, mark binary, keys array<long>")
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of whole postings, of rows sorted by key."""
+def _postings(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("key",)) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole postings, of rows sorted by the columns ``by``."""
     held: dict[str, list[np.ndarray]] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = {name: batch.column(name).to_numpy() for name in batch.schema.names}
-        cut = int(np.searchsorted(now["key"], now["key"][-1]))  # the last posting may go on
-        if held and (cut or held["key"][0][0] != now["key"][0]):
+        now = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names}
+        last = np.all([now[c] == now[c][-1] for c in by], axis=0)
+        cut = len(last) - int(last.sum())  # the last posting may go on
+        if held and (cut or any(held[c][0][0] != now[c][0] for c in by)):
             yield {name: np.concatenate([*held[name], now[name][:cut]]) for name in now}
             held = {}
         elif cut:
@@ -305,48 +355,86 @@ def _edges(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key, without the postings of one row."""
+def _possible(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sizes and the places in the order leave the pairs of rows a, b possible.
+
+    In the posting of a pair's first common shingle, all its common shingles stand at that place or behind it.
+    """
+    n, rest = rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["pos"]
+    return np.minimum(rest[a], rest[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6
+
+
+def _starred(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, pos, id), without the postings of one row: each with the first of its posting, where possible.
+
+    The first has the fewest rarer shingles, so in a family of copies it is one with few edits and mostly the same in
+    all postings: the pairs find most families. They don't find all links.
+    """
     for rows in _postings(batches):
         start, end = _edges(rows["key"])
         keep = end - start > 1
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in rows.values()], list(rows))
+            at = np.arange(len(start))
+            first = _possible(rows, start, at, similarity) & (rows["id"][start] != rows["id"])
+            columns = [pa.array(rows[c][keep]) for c in ("key", "id", "n", "pos")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows["id"][start][keep], mask=~first[keep])], ["key", "id", "n", "pos", "first"])
 
 
-def _possible(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
-    """The pairs of rows a, b, without those that the sizes and the places in the order rule out.
+def _open(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key, of postings with several roots; a posting of over ``block`` rows is cut into blocks.
 
-    In the posting of a pair's first common shingle, all its common shingles stand at that place or behind it.
+    A row of block i goes to the meetings (i, j) of its block with all blocks, itself too: meetings are numbered, and
+    side tells i from j, 0 where a block meets itself. No task gets more than two blocks of one posting at a time.
     """
-    n, rest = rows["n"].astype(np.int64), rows["n"].astype(np.int64) - rows["pos"]
-    keep = (np.minimum(rest[a], rest[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-6) & (rows["id"][a] != rows["id"][b])
-    if keep.any():
-        x, y = rows["id"][a[keep]], rows["id"][b[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: each with the first and the one before of its posting. Finds most families, not all links."""
+    names = ["key", "meeting", "side", "id", "n", "pos", "root"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
     for rows in _postings(batches):
-        at = np.arange(len(rows["key"]))
-        start, _ = _edges(rows["key"])
-        yield from _possible(rows, start[at > start], at[at > start], similarity)
-        yield from _possible(rows, at[at > start + 1] - 1, at[at > start + 1], similarity)
+        start, end = _edges(rows["key"])
+        sizes = end - start
+        starts = np.flatnonzero(start == np.arange(len(start)))
+        low, high = np.minimum.reduceat(rows["root"], starts), np.maximum.reduceat(rows["root"], starts)
+        several = np.repeat(low != high, sizes[starts])
+        small = np.flatnonzero(several & (sizes <= block))
+        if len(small):
+            zeros = np.zeros(len(small), np.int64)
+            columns = [rows["key"][small], zeros, zeros.astype(np.int32), *(rows[c][small] for c in ("id", "n", "pos", "root"))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        for first in np.flatnonzero(several & (sizes > block) & (start == np.arange(len(start)))):
+            blocks = int(-(-sizes[first] // block))
+            for i in range(blocks):
+                own = np.arange(first + i * block, min(end[first], first + (i + 1) * block))
+                for j in range(blocks):
+                    meeting = min(i, j) * blocks + max(i, j)
+                    columns = [rows["key"][own], np.full(len(own), meeting), np.full(len(own), int(i > j) + (i != j), np.int32), *(rows[c][own] for c in ("id", "n", "pos", "root"))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def _crossing(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, root): every pair of a posting whose roots differ."""
-    for rows in _postings(batches):
-        _, end = _edges(rows["key"])
-        block = np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["root"][1:] != rows["root"][:-1])))
-        bounds = np.append(np.flatnonzero(block), len(end))
-        at, other = np.arange(len(end)), bounds[np.cumsum(block)]  # other: the row behind those of the same root
+    """Rows sorted by (key, meeting, side, root): every pair of a meeting whose roots differ, but those ruled out by
+    size, place or mark."""
+    for rows in _postings(batches, ("key", "meeting")):
+        change = lambda *names: np.concatenate(([True], np.any([rows[c][1:] != rows[c][:-1] for c in names], axis=0)))
+        at = np.arange(len(rows["key"]))
+        ends = lambda new: np.append(np.flatnonzero(new), len(at))[np.cumsum(new)]
+        end, other = ends(change("key", "meeting")), ends(change("key", "meeting", "side", "root"))
+        two = rows["side"] == 1
+        other[two] = ends(change("key", "meeting", "side"))[two]
+        other[rows["side"] == 2] = len(at)
+        n, short = rows["n"].astype(np.int64), MARK_BITS[0] // 64
+        marks = np.stack([folded(np.frombuffer(m, np.uint64)[None, :], short)[0] for m in rows["mark"]])
         live = other < end
         at, other = at[live], other[live]
         while len(at):
             for lo in range(0, len(at), _PAIRS_AT_ONCE):
-                yield from _possible(rows, at[lo : lo + _PAIRS_AT_ONCE], other[lo : lo + _PAIRS_AT_ONCE], similarity)
+                x, y = at[lo : lo + _PAIRS_AT_ONCE], other[lo : lo + _PAIRS_AT_ONCE]
+                keep = (rows["root"][x] != rows["root"][y]) & _possible(rows, x, y, similarity)
+                x, y = x[keep], y[keep]
+                keep = np.bitwise_count(marks[x] ^ marks[y]).sum(1, dtype=np.int64) <= most_apart(n[x] + n[y], similarity)
+                x, y = x[keep], y[keep]
+                keep = apart(rows["mark"][x], rows["mark"][y]) <= most_apart(n[x] + n[y], similarity)
+                if keep.any():
+                    x, y = rows["id"][x[keep]], rows["id"][y[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
             other = other + 1
             live = other < end[at]
             at, other = at[live], other[live]
@@ -358,10 +446,9 @@ def similar_pairs(source: DataFrame, marks: DataFrame, pairs: DataFrame, similar
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ma, mb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in ("ma", "mb"))
                 n = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-                apart = np.bitwise_count(ma ^ mb).sum(1, dtype=np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(apart <= n * (1 - 2 * similarity / (1 + similarity)) + 1e-6))
+                differ = apart(*(batch.column(i).to_numpy(zero_copy_only=False) for i in ("ma", "mb")))
+                yield batch.select(["a", "b"]).filter(pa.array(differ <= most_apart(n, similarity)))
 
     of = lambda side: marks.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("mark").alias(f"m{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -391,26 +478,30 @@ def similar_pairs(source: DataFrame, marks: DataFrame, pairs: DataFrame, similar
     return full.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(v, root) for every id with a similar one: exactly the components of all similar pairs.
 
     Two rounds over the same postings. The first links most members of large families; the second compares every pair
-    of a posting that the first has not already connected, so no member leaves before all its links are known.
+    of a posting that the first has not already connected, so no member leaves before all its links are known. It
+    sees only postings with several roots left, large ones in blocks, and marks go with their rows.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = written(prefixes(source, similarity, words), "prefixes")
     posted = marks.select("id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", "pos")
-    schema = "key long, id long, n int, pos int"
-    shared = written(posted.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, schema), "shared")
-    mixed = shared.withColumn("_at", F.xxhash64("key", "id")).repartition("key").sortWithinPartitions("key", "_at").drop("_at")
-    starred = written(mixed.mapInArrow(lambda batches: _stars(batches, similarity), "a long, b long").distinct(), "pairs")
-    first = written(similar_pairs(source, marks, starred, similarity, words), "links")
+    schema = "key long, id long, n int, pos int, first long"
+    laid = posted.repartition("key").sortWithinPartitions("key", "pos", "id")
+    shared = written(laid.mapInArrow(lambda batches: _starred(batches, similarity), schema), "shared")
+    stars = shared.where("first IS NOT NULL").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    stars = written(stars.distinct(), "pairs")
+    first = written(similar_pairs(source, marks, stars, similarity, words), "links")
     roots = written(components(first), "groups").withColumnRenamed("v", "id")
     rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "n", "pos", "root")
-    laid = rooted.repartition("key").sortWithinPartitions("key", "root")
-    crossing = laid.mapInArrow(lambda batches: _crossing(batches, similarity), "a long, b long").distinct()
-    left = written(crossing.join(starred, ["a", "b"], "left_anti"), "pairs")
-    second = written(similar_pairs(source, marks, left, similarity, words), "links")
+    schema = "key long, meeting long, side int, id long, n int, pos int, root long"
+    left = written(rooted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _open(batches, block), schema), "open")
+    marked = left.join(marks.select("id", "mark"), "id").repartition("key", "meeting").sortWithinPartitions("key", "meeting", "side", "root")
+    crossing = marked.select(*left.columns, "mark").mapInArrow(lambda batches: _crossing(batches, similarity), "a long, b long").distinct()
+    pairs = written(crossing.join(stars, ["a", "b"], "left_anti"), "pairs")
+    second = written(similar_pairs(source, marks, pairs, similarity, words), "links")
     return components(first.union(second))
 
 
