@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -28,24 +29,31 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-#: Bytes of an Arrow batch while a table is written: bounds the memory of Python workers where texts are long.
+#: Bytes of an Arrow batch while a table is written or counted: bounds the memory of Python workers where texts are long.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets Arrow batches of BATCH_BYTES at most; the session's own setting holds before and after."""
+    own = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, own)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the scratch folder: cuts lineage and survives the loss of executors.
 
-    Arrow batches have BATCH_BYTES at most while it is written; the session's own setting holds before and after.
+    Arrow batches are small_batches() while it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    own = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, own)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,7 +82,12 @@ atexit.register(release)
 
 def text_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow(run, schema). Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
-    return df.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
+
+    return df.mapInArrow(released, schema)
 
 
 #: Rows that a table may have to be broadcast whole.

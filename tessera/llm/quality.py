@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, text_map, whole_text, written
+from tessera.llm.common import small_batches, table, text_map, whole_text, written
 
 #: Documents that train the scorers, about.
 SAMPLE = 8_000
@@ -278,17 +278,19 @@ def word_lists(docs: DataFrame, some: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = set()
-            for fold, toxic, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = _WORD.findall(t.lower())
-                rows.update((fold, w, zlib.crc32(before.encode()), int(toxic)) for before, w in zip(["", *words], words, strict=False) if len(w) > 2)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["fold", "word", "context", "toxic"])
+            for lo in range(0, batch.num_rows, 100):
+                rows = set()
+                for fold, toxic, t in zip(*(c.to_pylist() for c in batch.slice(lo, 100).columns), strict=True):
+                    words = _WORD.findall(t.lower())
+                    rows.update((fold, w, zlib.crc32(before.encode()), int(toxic)) for before, w in zip(["", *words], words, strict=False) if len(w) > 2)
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int32()), strict=True)], ["fold", "word", "context", "toxic"])
 
     seen = text_map(texts, run, "fold int, word string, context long, toxic int").groupBy("fold", "word", "context").agg(F.min("toxic").alias("toxic"))
     counts = seen.groupBy("fold", "word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     # a document's words are toxic contexts at the rate of toxic documents; far above it, a word is a mark
-    marks = counts.where("bad >= 4 AND bad >= 0.96 * n").orderBy(F.desc("bad"), "word", "fold").limit(FOLDS * MOST_WORDS).collect()
+    with small_batches(docs.sparkSession):
+        marks = counts.where("bad >= 4 AND bad >= 0.96 * n").orderBy(F.desc("bad"), "word", "fold").limit(FOLDS * MOST_WORDS).collect()
     return tuple(frozenset(r["word"] for r in marks if r["fold"] == fold) for fold in range(FOLDS))
 
 
