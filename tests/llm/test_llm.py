@@ -115,8 +115,56 @@ def test_license_join_is_exact():
         for label, text in licenses.TEMPLATES:
             t = set(text.encode().split())
             if len(t & block) >= licenses.THRESHOLD * len(t) - 1e-9:
-                want.add((label, len(t & block) / len(t)))
-        assert set(index.matches(block)) == want
+                want.add((label, text))
+        assert {licenses.TEMPLATES[t] for t in index.candidates(block)} == want
+
+
+def test_license_scan_against_brute_force_over_whole_texts():
+    """Every run of words of every template's longest length is compared, by a quadratic longest common subsequence."""
+    rng = random.Random(32)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
+    index = licenses.Index(licenses.TEMPLATES, {})
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                before, row[j + 1] = row[j + 1], max(before + 1 if x == y else 0, row[j], row[j + 1])
+        return row[-1]
+
+    met = 0
+    for _ in range(60):
+        words = rng.choices(vocabulary + ["zz"] * 40, k=rng.randint(0, 60))
+        for _ in range(2):
+            template = rng.choice(licenses.TEMPLATES)[1].split()
+            kept = [w for w in template if rng.random() < 0.92]
+            for _ in range(rng.choice((0, 0, 2, len(template) // 2, len(template)))):
+                kept.insert(rng.randint(0, len(kept)), "between")
+            if rng.random() < 0.2:
+                rng.shuffle(kept)
+            words += kept + rng.choices(vocabulary + ["zz"] * 40, k=rng.randint(0, 60))
+        text = "".join(w + rng.choice((" ", " ", "\n", ", ")) for w in words)
+        labels, score = set(), 0.0
+        for label, template in licenses.TEMPLATES:
+            every = template.split()
+            distinct = list(dict.fromkeys(every))
+            run = -(-3 * len(every) // 2)
+            most = max((common(words[i : i + run], distinct) for i in range(len(words))), default=0)
+            if most >= 0.8 * len(distinct) - 1e-9:
+                labels.add(label)
+                score, met = max(score, most / len(distinct)), met + 1
+        got = licenses.scan(licenses.normalised(text), index)
+        base = set(got[4].split(",")) - {""}
+        assert set(got[5].split(",")) - {""} == labels | base and got[6] == pytest.approx(1.0 if base else score)
+    assert met > 60
+
+
+def test_scattered_words_are_no_notice(spark):
+    index = licenses.Index(licenses.TEMPLATES, {})
+    assert licenses.scan(licenses.normalised("the license is mit and the book was released yesterday under cover"), index)[5] == ""
+    df = spark.createDataFrame([(1, "MIT"), (1, "MIT"), (None, None), (2, "Released under\nthe MIT license")], "doc_id long, text string").withColumn("labels", F.lit("x"))
+    assert sorted(r.labels for r in licenses.scan_licenses(df).collect()) == ["", "", "", "mit"]
 
 
 def test_license_labels(spark, empty):
@@ -294,6 +342,9 @@ def test_forest_finds_every_link_in_crowded_postings():
         return sorted(map(sorted, groups.values()))
 
     brute = [(a, b) for i, a in enumerate(near) for b in near[i + 1 :] if bin(a ^ b).count("1") <= 3]
+    for few in (10, 60, 100):
+        part = fps[:few]
+        assert {x for e in simhash.forest(part) for x in e} == {x for a, b in brute for x in (a, b) if a in set(part.tolist()) and b in set(part.tolist())}
     assert classes(simhash.forest(fps)) == classes(brute) == classes(simhash.forest(fps, free=free))
 
 
@@ -378,17 +429,32 @@ def test_similar_pairs_in_a_family_with_shared_boilerplate(spark):
     assert {r.doc_id for r in simhash.keep_dissimilar(df).collect()} == set(range(300))
 
 
-def test_a_posting_compares_every_pair_that_is_not_yet_connected():
+@pytest.mark.parametrize("block", [4, 7, 1000])
+def test_a_posting_compares_every_pair_that_is_not_yet_connected(block):
     rng = random.Random(23)
     rows = sorted((rng.randrange(12), rng.randrange(6), i) for i in range(300))
     columns = {"key": [k for k, _, _ in rows], "id": [i for *_, i in rows], "n": [100] * 300, "pos": [0] * 300, "root": [r for _, r, _ in rows]}
     whole = pa.RecordBatch.from_pydict(columns)
     want = {(min(i, j), max(i, j)) for k, r, i in rows for m, s, j in rows if k == m and r != s}
     for size in (7, 64, 300):
-        got = simhash._crossing((whole.slice(lo, size) for lo in range(0, 300, size)), 0.8)
+        laid = pa.Table.from_batches(list(simhash._open((whole.slice(lo, size) for lo in range(0, 300, size)), block)))
+        laid = laid.sort_by([(c, "ascending") for c in ("key", "meeting", "side", "root")])
+        laid = laid.append_column("mark", pa.array([bytes(64 if i % 3 else 128) for i in range(laid.num_rows)], pa.binary())).combine_chunks()
+        got = simhash._crossing(iter(laid.to_batches(max_chunksize=size)), 0.8)
         assert {p for b in got for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)} == want
 
 
+def test_marks_never_differ_in_more_bits_than_the_sets():
+    rng = np.random.default_rng(5)
+    for n, m, common in ((100, 110, 90), (600, 500, 480), (5000, 4500, 4400), (3, 0, 0)):
+        both = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64)
+        a, b = both[:n], both[n - common :]
+        marks = np.empty(2, object)
+        marks[:] = [simhash.mark(a), simhash.mark(b)]
+        got = simhash.apart(marks[:1], marks[1:])[0]
+        assert 0 < got <= n + m - 2 * common and got >= 0.6 * min(n + m - 2 * common, 200)
+
+
 def test_similar_sets_meet_whatever_their_repeats_and_lengths(spark):
     rng = random.Random(24)
     texts = []
@@ -481,6 +547,28 @@ def test_sharding_without_single_documents(spark):
     assert set(got.shard.value_counts()) == {16}
 
 
+@pytest.mark.parametrize("groups", [[10], [16], [40, 12, 9, 9], [16, 16, 8, 8, 8], [100], [5] * 20 + [3] * 10])
+def test_cut_edges_are_as_few_as_can_be(spark, groups):
+    """Groups that fit stay whole; a larger one is over as few shards as hold it. Quota: 16."""
+    texts = [f"g{g}" for g, n in enumerate(groups) for _ in range(n)]
+    texts += [f"single {i}" for i in range(256 - len(texts))]
+    random.Random(33).shuffle(texts)
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).toPandas()
+    assert set(got.shard.value_counts()) == {16}
+    held = {}
+    for d, s in zip(got.doc_id, got.shard, strict=True):
+        held.setdefault(texts[d], []).append(s)
+    for g, n in enumerate(groups):
+        assert len(set(held[f"g{g}"])) == -(-n // 16), (g, n)
+
+
+def test_sharding_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None), (2, "")] * 8, "doc_id long, text string").withColumn("_part", F.lit(1))
+    got = sharding.shard(df, 4).toPandas()
+    assert len(got) == 40 and set(got.shard.value_counts()) == {10}
+    assert all(sorted(own.slot) == list(range(10)) for _, own in got.groupby("shard"))
+
+
 # --- 7 secrets
 
 
@@ -526,6 +614,56 @@ def test_literals_of_any_form_and_length_are_reported():
     assert secrets.literal_spans("value7abcXY = read()\ndb_pwd = value7abcXY") == []
 
 
+def test_method_spans_on_a_grammar_of_assignments():
+    """Texts are made from forms with a place for a name and places for literals; the spans must be exactly those of
+    the secrets that sensitive names are given."""
+    rng = random.Random(31)
+    word = lambda n, letters="abcdefghkmnpqrstuvwxyzABCDEFGH23456789": "".join(rng.choice(letters) for _ in range(n))
+    secret = lambda: "Z" + word(rng.choice((11, 15, 40))) + "7x9"
+    blank = lambda: " " * rng.choice((0, 1, 1, 2, 30))
+    quote = lambda s: rng.choice(('"{}"', "'{}'", "`{}`", 'r"{}"', '"""{}"""', "'''{}'''")).format(s)
+    forms = [
+        lambda n, s: (f"{n}{blank()}={blank()}{quote(s)}", [s]),
+        lambda n, s: (f"{n}: str = {quote(s)};", [s]),
+        lambda n, s: (f"{n}{blank()}:{blank()}{s}!", [s + "!"]),
+        lambda n, s: (f'{{"{n}" : "{s}"}}', [s]),
+        lambda n, s: (f"conf['{n}'] = {quote(s)}", [s]),
+        lambda n, s: (f"{n} => '{s}',", [s]),
+        lambda n, s: (f'{n} = "{s}" + "{s[::-1]}"', [s, s[::-1]]),
+        lambda n, s: (f'{n} = ("{s}"\n    "{s[::-1]}")', [s, s[::-1]]),
+        lambda n, s: (f'{n} = ["{s}", 12, "{s[::-1]}"]', [s, s[::-1]]),
+        lambda n, s: (f'connect(host="db", {n}="{s}")', [s]),
+        lambda n, s: (f'set_{n}("{s}")', [s]),
+        lambda n, s: (f'os.putenv("{n}", "{s}")', [s]),
+        lambda n, s: (f"<{n}>{s}</{n}>", [s]),
+        lambda n, s: (f'<add key="{n}" value="{s}"/>', [s]),
+        lambda n, s: (f'{n} = "a\\"{s}"', [f'a\\"{s}']),
+        lambda n, s: (f'x{s[1:5]} = "{s}"\ny{s[1:5]} = x{s[1:5]}\n{n} = y{s[1:5]}', [s]),
+    ]
+    for _ in range(150):
+        text, want = "", []
+        for form in rng.sample(forms, 6):
+            hot = rng.random() < 0.6
+            name = rng.choice(("db_pwd", "userPassphrase", "auth_credential", "signingKey")) if hot else rng.choice(("colour", "title", "width_px", "zipcode"))
+            value = secret() if rng.random() < 0.8 else "xxxxxx"
+            piece, literals = form(name, value)
+            at = len(text)
+            for literal in literals if hot and value != "xxxxxx" else ():
+                at = len(text) + piece.index(literal, at - len(text))
+                want.append((at, 3, at + len(literal)))
+                at += len(literal)
+            text += piece + rng.choice(("\n", "\n\n", "\nsome words of prose. And: more prose\n"))
+        assert secrets.literal_spans(text) == sorted(want), text
+
+
+def test_secrets_on_nulls_repeated_rows_and_an_empty_table(spark, empty):
+    df = spark.createDataFrame([(1, "db_pwd = 'Zk3v9QpL7wTa'"), (1, "db_pwd = 'Zk3v9QpL7wTa'"), (None, None), (2, "")], "doc_id long, text string").withColumn("spans", F.lit("x"))
+    got = sorted(secrets.scan_secrets(df).collect(), key=str)
+    assert [r.spans for r in got if r.doc_id == 1] == ["literal:10:22"] * 2 and len(got) == 4
+    assert secrets.scan_secrets(empty).count() == 0
+    assert secrets.literal_spans("a = " + "[" * 50 + "(" * 50 + "x = '" + "b" * 100) == []
+
+
 # --- 8 exact
 
 
@@ -586,6 +724,87 @@ def test_passages_with_many_edits_are_found(spark):
     assert got <= {(i, i + 1) for i in range(0, 400, 2)} and len(got) >= 0.95 * 200
 
 
+def test_passages_whose_parts_come_first_elsewhere_are_found(spark):
+    rng = random.Random(26)
+    rows, want = [], set()
+    for i in range(40):
+        passage = distinct_words(rng, 90)
+        first = len(rows)
+        for third in (passage[:30], passage[30:60], passage[60:]):
+            rows.append((len(rows), " ".join(distinct_words(rng, 40) + third + distinct_words(rng, 40))))
+        # equal copies, or the second with an edit of its own in each third
+        other = edited(passage, {12, 44, 77}) if i % 2 else passage
+        for copy in (passage, other):
+            rows.append((len(rows), " ".join(distinct_words(rng, 20) + copy + distinct_words(rng, 20))))
+        want.add((first + 3, first + 4))
+    got = {(r.partner_id, r.doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_copies_of_edited_copies_meet(spark):
+    rng = random.Random(27)
+    rows, want = [], set()
+    for _ in range(40):
+        a = distinct_words(rng, 100)
+        b = edited(a, set(range(4, 100, 9)))
+        c = [f"more{i}" if i % 13 == 6 else w for i, w in enumerate(b)]
+        want.add((len(rows) + 1, len(rows) + 2))
+        rows += [(len(rows) + i, " ".join(distinct_words(rng, 30) + t + distinct_words(rng, 30))) for i, t in enumerate((a, b, c))]
+    got = {(r.partner_id, r.doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want - got) <= 1
+
+
+@pytest.mark.parametrize("parts", [(passages.LEAST_ROWS, passages.CHUNK), (1, 7)])
+def test_links_reach_every_occurrence(monkeypatch, parts):
+    rng = random.Random(28)
+    monkeypatch.setattr(passages, "LEAST_ROWS", parts[0])
+    monkeypatch.setattr(passages, "CHUNK", parts[1])
+    rows = sorted((rng.randrange(6), rng.randrange(4) << 54 | rng.randrange(2) << 43 | rng.randrange(50), rng.randrange(40)) for _ in range(400))
+    whole = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["h", "at", "doc"])
+    none = (np.empty(0, np.int64),) * 3
+    for size in (5, 64, 400):
+        got = [r for b in passages._links((whole.slice(lo, size) for lo in range(0, 400, size)), none) for r in b.to_pylist()]
+        for h in range(6):
+            own = [r for r in rows if r[0] == h]
+            parent = {d: d for *_, d in own}
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            held = {(d, at & 0xFFFFFFFF) for _, at, d in own}
+            for r in got:
+                assert r["doc"] > r["partner"]
+                if (r["doc"], r["pos"]) in held and (r["partner"], r["rpos"]) in held:
+                    parent[find(r["doc"])] = find(r["partner"])
+            assert len({find(d) for d in parent}) == 1
+        assert len(got) <= 3 * len(rows) + 100
+
+
+def test_seeds_of_equal_words_are_equal_and_dense():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 1 << 16, 200).astype(np.uint16)
+    a = np.concatenate((rng.integers(0, 1 << 16, 37).astype(np.uint16), shared, rng.integers(0, 1 << 16, 50).astype(np.uint16)))
+    places, hashes, contexts = passages.seeds(a)
+    alone = passages.seeds(shared)
+    inside = (places >= 37) & (places < 37 + 160)
+    assert np.diff(places).max() <= passages.K - 1 and len(places) < 0.55 * len(a)
+    assert [(p - 37, h, c) for p, h, c in zip(places[inside], hashes[inside], contexts[inside], strict=True)] == [x for x in zip(*alone, strict=True) if x[0] < 160]
+
+
+def test_frequent_seeds_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SAMPLE", 50)
+    rng = random.Random(29)
+    line = distinct_words(rng, 60)
+    rows = [(i, " ".join(distinct_words(rng, 10) + line)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes, first, _ = passages.frequent_seeds(passages.sketches(df))
+    assert len(hashes) > 10 and len(set(first)) == 1
+    got = passages.repeated_passages(df).where(F.col("partner_id").eqNullSafe(F.lit(int(first[0]))) | F.col("doc_id").eqNullSafe(F.lit(int(first[0])))).collect()
+    assert {r.doc_id for r in got} | {r.partner_id for r in got} == set(range(150))
+
+
 def test_chain_matches_a_quadratic_version():
     rng = random.Random(12)
     for _ in range(50):
@@ -623,18 +842,52 @@ def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     train, test = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
-    got = quality.score(docs, quality.fit(docs, train, sample=500)).join(test, "doc_id").toPandas()
+    rows, model = quality.prepared(docs, train, sample=500)
+    got = quality.scored(rows, model).join(test, "doc_id").toPandas()
     clean = got[(got.quality == 1) & (got.toxic == 0)]
     assert clean.kept.mean() >= 0.99 and (~got[got.quality == 0].kept).mean() >= 0.95
     assert (~got[(got.toxic == 1)].kept).mean() >= 0.5
 
 
 def test_classifier_edge_cases(spark, docs, rows, empty):
-    model = quality.fit(docs, sample=50)
-    got = quality.score(docs, model).collect()
+    stored, model = quality.prepared(docs, sample=50)
+    got = quality.scored(stored, model).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
-    assert quality.keep_good(docs, model).columns == docs.columns
-    assert quality.fit(empty) is None and quality.score(empty, None).count() == quality.keep_good(empty, None).count() == 0
+    assert sorted(got) == sorted(quality.score(docs, model).collect())
+    kept = quality.keep_good(stored, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
+    assert not {r.doc_id: r for r in got}[[d for d, t, *_ in rows if not t][0]].kept
+    stored, model = quality.prepared(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert model is None and quality.scored(stored, model).count() == quality.keep_good(stored, model).count() == quality.score(empty, None).count() == 0
+
+
+def test_repeated_rows_null_ids_and_labels(spark):
+    rows = [(1, "one two three"), (1, "one two three"), (None, "x y"), (None, None), (2, "you moron and scum"), (3, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 1), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.scored(*quality.prepared(df, labels)).collect()
+    assert len(got) == 6 and len({tuple(r) for r in got if r.doc_id == 1}) == 1
+
+
+def test_known_classes_give_the_rates_of_imprecise_labellers():
+    """The false-bad rates are estimated, not set: 10 % and 2 % here."""
+    rng = np.random.default_rng(1)
+    truth = rng.random(40_000) < 0.2
+    hit, wrong = np.asarray([0.9, 0.8, 0.7]), np.asarray([0.1, 0.02, 0.05])
+    cast = np.where(rng.random((40_000, 3)) < np.where(truth[:, None], hit, wrong), 1, -1)
+    known = np.where(rng.random(40_000) < 0.1, truth, -1)
+    rows, counts = np.unique(np.column_stack((cast, known)), axis=0, return_counts=True)
+    model = quality.fit_labels(rows[:, :3], counts.astype(float), rows[:, 3])
+    assert abs(model.prior - 0.2) < 0.03 and np.abs(model.rates[1, :, 2] - hit).max() < 0.05 and np.abs(model.rates[0, :, 2] - wrong).max() < 0.02
+
+
+def test_long_texts_vote_as_their_exact_ratios_say():
+    rng = random.Random(30)
+    for _ in range(20):
+        text = " ".join(rng.choice((w, w.upper())) for w in prose(rng, 4000).split())
+        letters = sum(map(str.isalpha, text))
+        ratio = sum(map(str.isupper, text)) / letters
+        assert quality.votes(text)[0][2] == (1 if ratio > 0.5 else -1 if ratio < 0.2 else 0)
 
 
 def test_upper_case_is_counted_over_the_whole_text():
