@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -80,12 +81,23 @@ def tables_written() -> int:
 atexit.register(release)
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system, Arrow's and the C library's: workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow(run, schema). Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    """df.mapInArrow(run, schema), with give_back() after each task.
+
+    Batches are bounded by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()  # workers live on for other stages
+        give_back()
 
     return df.mapInArrow(released, schema)
 

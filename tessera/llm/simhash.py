@@ -201,7 +201,7 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     def within(rows: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
         laid = rows.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
-        return laid.mapInArrow(lambda batches: _linked(batches, sets), "a long, b long")
+        return text_map(laid, lambda batches: _linked(batches, sets), "a long, b long")
 
     small = within(shared.where(F.col("n") <= crowded), TRIPLES)
     dense = shared.where(F.col("n") > crowded).select("fp").distinct()
@@ -452,7 +452,7 @@ def similar_pairs(source: DataFrame, marks: DataFrame, pairs: DataFrame, similar
 
     of = lambda side: marks.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("mark").alias(f"m{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    likely = written(both.mapInArrow(near, "a long, b long"), "likely")
+    likely = written(text_map(both, near, "a long, b long"), "likely")
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     there = maybe_in(source, "id", wanted, "id", "_maybe").where("_maybe").select("id", "text")
 
@@ -475,7 +475,7 @@ def similar_pairs(source: DataFrame, marks: DataFrame, pairs: DataFrame, similar
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    return text_map(full.select("a", "b", "sa", "sb"), verify, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -490,16 +490,16 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     posted = marks.select("id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", "pos")
     schema = "key long, id long, n int, pos int, first long"
     laid = posted.repartition("key").sortWithinPartitions("key", "pos", "id")
-    shared = written(laid.mapInArrow(lambda batches: _starred(batches, similarity), schema), "shared")
+    shared = written(text_map(laid, lambda batches: _starred(batches, similarity), schema), "shared")
     stars = shared.where("first IS NOT NULL").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
     stars = written(stars.distinct(), "pairs")
     first = written(similar_pairs(source, marks, stars, similarity, words), "links")
     roots = written(components(first), "groups").withColumnRenamed("v", "id")
     rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "n", "pos", "root")
     schema = "key long, meeting long, side int, id long, n int, pos int, root long"
-    left = written(rooted.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _open(batches, block), schema), "open")
+    left = written(text_map(rooted.repartition("key").sortWithinPartitions("key"), lambda batches: _open(batches, block), schema), "open")
     marked = left.join(marks.select("id", "mark"), "id").repartition("key", "meeting").sortWithinPartitions("key", "meeting", "side", "root")
-    crossing = marked.select(*left.columns, "mark").mapInArrow(lambda batches: _crossing(batches, similarity), "a long, b long").distinct()
+    crossing = text_map(marked.select(*left.columns, "mark"), lambda batches: _crossing(batches, similarity), "a long, b long").distinct()
     pairs = written(crossing.join(stars, ["a", "b"], "left_anti"), "pairs")
     second = written(similar_pairs(source, marks, pairs, similarity, words), "links")
     return components(first.union(second))
