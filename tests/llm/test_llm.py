@@ -805,6 +805,51 @@ def test_frequent_seeds_are_dealt_over_salts(spark, monkeypatch):
     assert {r.doc_id for r in got} | {r.partner_id for r in got} == set(range(150))
 
 
+@pytest.mark.parametrize("width", [12, 30])
+def test_passages_of_frequent_seeds_are_found(spark, width):
+    """All seeds of a passage, and with wider slices their short contexts, are in many documents; the whole is in two."""
+    rng = random.Random(30)
+    shared = [distinct_words(rng, 60) for _ in range(8)]
+    rows = []
+    for i in range(300):
+        starts = [rng.randrange(5 - width, 56) for _ in shared]
+        slices = [distinct_words(rng, 20) + p[max(0, s) : s + width] for p, s in zip(shared, starts, strict=True)]
+        rows.append((i, " ".join(w for part in slices for w in part)))
+    want = set()
+    for p in shared:
+        want.add((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, " ".join(distinct_words(rng, 30) + p + distinct_words(rng, 30))) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places, hashes, contexts = passages.seeds(np.asarray(passages.word_codes(" ".join(shared[0])) & np.uint32(0xFFFF), np.uint16))
+    keys = passages.frequent_seeds(passages.sketches(df))[0]
+    levels = [passages._known(k, keys)[0] for k in passages._levels(hashes, contexts)]
+    assert levels[0].all() and levels[2].any() == (width == 30)
+    got = {(r.partner_id, r.doc_id) for r in passages.repeated_passages(df).collect()}
+    assert got == want
+
+
+def test_counts_of_keys_in_documents():
+    rng = np.random.default_rng(32)
+    for n in (0, 1, 500):
+        keys, docs, places = (rng.integers(0, m, n) for m in (9, 7, 50))
+        got = passages._counted(keys, docs, places).to_pylist()
+        held = sorted(zip(keys.tolist(), docs.tolist(), places.tolist(), strict=True))
+        want = [{"h": k, "n": len({d for h, d, _ in held if h == k}), **dict(zip(("doc", "pos"), min(r[1:] for r in held if r[0] == k), strict=True))} for k in sorted({k for k, *_ in held})]
+        assert got == want
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_dealt_seeds_keep_common_contexts_together(most):
+    """Of frequent seeds those occurrences stay in one place that have the shortest context in common that is rare."""
+    rng = np.random.default_rng(31)
+    hashes, contexts, docs = np.full(2000, 77, np.int64), rng.integers(0, 1 << 32, 2000).astype(np.uint32), np.arange(2000)
+    contexts = contexts.repeat(2)[:2000]
+    frequent = np.unique(np.concatenate(passages._levels(hashes, contexts)[: most + 1]))
+    dealt = passages._dealt(hashes, contexts, docs, frequent)
+    assert len(set(dealt.tolist())) == 1 << passages.SALT_BITS and (dealt & passages._LOW == 77).all()
+    assert (dealt[::2] == dealt[1::2]).all() == (most < 3)
+
+
 def test_chain_matches_a_quadratic_version():
     rng = random.Random(12)
     for _ in range(50):
