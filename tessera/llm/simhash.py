@@ -17,10 +17,12 @@ words than a shingle make one shingle. Equal fingerprints are always one compone
 null ids too; a component of null ids only has a null id. An empty table gives an empty result. Similar texts take
 integer ids; rows without one are kept and have no similar text.
 
-Similar texts (``similar_groups``, for the pipeline): at a Jaccard similarity of 0.8 about 15 % of a SimHash's bits
-differ, so no number of shared bytes is guaranteed. There the sets of distinct shingles are joined exactly: postings of
-the prefixes of a common order, rare shingles first; sizes, places in the order and parity marks rule out only pairs
-that are provably below; what is left is verified on the sets, and the links' components are taken at the end.
+Similar texts (``similar_groups``, for the pipeline): the same index links the fingerprints of the sets of distinct
+shingles, its links are verified on the sets, and components are taken. At a Jaccard similarity of 0.8 about 15 % of a
+SimHash's bits differ, so no number of shared bytes is guaranteed for all similar pairs. An exact join of the sets
+therefore follows, for the pairs that the index can't reach: postings of the prefixes of a common order, rare shingles
+first; sizes, places in the order and parity marks rule out only pairs that are provably below; what is left is verified
+on the sets, too, and the components of all links are taken at the end.
 """
 
 from __future__ import annotations
@@ -311,7 +313,7 @@ def most_apart(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def prefixes(source: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(id, n, mark, keys): the number of distinct shingles, their mark and their prefix; source is (id, text)."""
+    """(id, n, fp, mark, keys): the number of distinct shingles, their fingerprint, mark and prefix; source is (id, text)."""
     frequent = frequent_shingles(source, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +324,21 @@ def prefixes(source: DataFrame, similarity: float, words: int) -> DataFrame:
                 keys = [prefix(s, frequent, similarity) for s in sets]
                 cuts = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
                 keyed = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys).view(np.int64)))
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([mark(s) for s in sets], pa.binary()), keyed]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "mark", "keys"])
+                fps = np.frombuffer(b"".join(map(fingerprint, sets)), ">i8").astype(np.int64)
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array([mark(s) for s in sets], pa.binary()), keyed]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fp", "mark", "keys"])
 
-    return text_map(source, run, "id long, n int, mark binary, keys array<long>")
+    return text_map(source, run, "id long, n int, fp long, mark binary, keys array<long>")
+
+
+def indexed_pairs(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(a, b), a < b: each id with the first of its fingerprint, and the firsts of fingerprints that the index's forests
+    link; prints is (id, fp). The pairs connect exactly what chains of near fingerprints connect."""
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    same = prints.join(distinct, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    of = lambda side: distinct.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
+    linked = links(distinct.select("fp"), crowded).distinct().join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(linked.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
 
 
 def _postings(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("key",)) -> Iterator[dict[str, np.ndarray]]:
@@ -481,9 +494,10 @@ def similar_pairs(source: DataFrame, marks: DataFrame, pairs: DataFrame, similar
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(v, root) for every id with a similar one: exactly the components of all similar pairs.
 
-    Two rounds over the same postings. The first links most members of large families; the second compares every pair
-    of a posting that the first has not already connected, so no member leaves before all its links are known. It
-    sees only postings with several roots left, large ones in blocks, and marks go with their rows.
+    Two rounds. The first verifies the links of the fingerprints' index, and those of each posting's first, which link
+    most members of large families. The second is exact: it compares every pair of a posting that the first has not
+    already connected, so no member leaves before all its links are known. It sees only postings with several roots
+    left, large ones in blocks, and marks go with their rows.
     """
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     marks = written(prefixes(source, similarity, words), "prefixes")
@@ -492,7 +506,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int =
     laid = posted.repartition("key").sortWithinPartitions("key", "pos", "id")
     shared = written(text_map(laid, lambda batches: _starred(batches, similarity), schema), "shared")
     stars = shared.where("first IS NOT NULL").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
-    stars = written(stars.distinct(), "pairs")
+    stars = written(indexed_pairs(marks.select("id", "fp")).unionByName(stars).distinct(), "pairs")
     first = written(similar_pairs(source, marks, stars, similarity, words), "links")
     roots = written(components(first), "groups").withColumnRenamed("v", "id")
     rooted = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "n", "pos", "root")

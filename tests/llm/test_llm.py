@@ -429,6 +429,44 @@ def test_similar_pairs_in_a_family_with_shared_boilerplate(spark):
     assert {r.doc_id for r in simhash.keep_dissimilar(df).collect()} == set(range(300))
 
 
+@pytest.mark.parametrize("crowded", [simhash.CROWDED, 2])
+def test_indexed_pairs_connect_what_three_bits_connect(spark, crowded):
+    rng = random.Random(33)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), k)) for p in prints for k in (1, 2, 3, 3, 4)] + prints[:20] + [0, 0, 7]
+    rows = [(i, int(np.uint64(p).astype(np.int64))) for i, p in enumerate(rng.sample(prints, len(prints)))]
+    got = [(r.a, r.b) for r in simhash.indexed_pairs(spark.createDataFrame(rows, "id long, fp long"), crowded).collect()]
+    bits = np.bitwise_count(np.bitwise_xor.outer(*[np.array([p for _, p in rows], np.int64).view(np.uint64)] * 2))
+    want = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if bits[a, b] <= 3]
+
+    def classes(pairs):
+        root = list(range(len(rows)))
+        for _ in rows:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert all(a < b for a, b in got) and len(want) > 100 and classes(got) == classes(want)
+
+
+def test_similar_texts_come_through_the_index_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(34)
+    texts = [distinct_words(rng, 400) for _ in range(20)]
+    texts += [edited(t, {200}) for t in texts]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    candidates = []
+
+    def spied(source, marks, pairs, *rest, inner=simhash.similar_pairs):
+        candidates.append({(r.a, r.b) for r in pairs.collect()})
+        return inner(source, marks, pairs, *rest)
+
+    linked, inner = [], simhash.indexed_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", spied)
+    monkeypatch.setattr(simhash, "indexed_pairs", lambda prints, *rest: linked.append({(r.a, r.b) for r in inner(prints, *rest).collect()}) or inner(prints, *rest))
+    assert {r.doc_id for r in simhash.keep_dissimilar(df).collect()} == set(range(20))
+    assert len(linked[0]) >= 10 and linked[0] <= candidates[0] and not linked[0] & candidates[1]
+
+
 @pytest.mark.parametrize("block", [4, 7, 1000])
 def test_a_posting_compares_every_pair_that_is_not_yet_connected(block):
     rng = random.Random(23)
