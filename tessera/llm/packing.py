@@ -20,7 +20,7 @@ import sys
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -69,7 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self._by_rank(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Parts(self._part)
 
     @staticmethod
     def _by_rank(path: str):
@@ -102,43 +102,45 @@ class Encoder:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(c.ids, dtype="<u4").tobytes() for c in coded]
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a new part."""
+        head, core, tail = "", part, ""
+        if part[0] == "\n":
+            head, core = "\n", part[1:]
+        if core[-1:] in _TAILS:
+            core, tail = core[:-1], core[-1]
+        letters = core[1:] if core[:1] == " " else core
+        if not (self.merge and letters.isalpha()):
+            return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if head or tail:
+            return (self.cache[head] if head else b"") + self.cache[core] + (self.cache[tail] if tail else b"")
+        ids = self.merge(core)
+        return np.asarray(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = [
-            t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if self._single(t) and not any(s in t for s in self.special) else None
-            for t in texts
-        ]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache, merge = self.cache, self.merge
-        new = {p for ps in parts if ps for p in ps if p not in cache}
-        whole = [m for m in ("\n", *_TAILS) if m not in cache]
-        cut = []
-        for p in new:
-            head, core, tail = "", p, ""
-            if p[0] == "\n":
-                head, core = "\n", p[1:]
-            if core[-1:] in _TAILS:
-                core, tail = core[:-1], core[-1]
-            letters = core[1:] if core[:1] == " " else core
-            if merge and letters.isalpha():
-                cut.append((p, head, core, tail))
+        out, ids_of = [], self.cache.__getitem__
+        for t in texts:
+            if len(self.cache) > CACHE_ENTRIES:
+                self.cache.clear()
+            if self._single(t) and not any(s in t for s in self.special):
+                out.append(b"".join(map(ids_of, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))))
             else:
-                whole.append(p)
-        for i in range(0, len(whole), 10_000):
-            some = whole[i : i + 10_000]
-            cache.update(zip(some, self._direct(some), strict=True))
-        for p, head, core, tail in cut:
-            ids = cache.get(core)
-            if ids is None:
-                ids = cache[core] = np.asarray(merge(core), "<u4").tobytes() if sys.byteorder == "big" else array("I", merge(core)).tobytes()
-            if head or tail:
-                cache[p] = (cache[head] if head else b"") + ids + (cache[tail] if tail else b"")
-        out = []
-        for t, ps in zip(texts, parts, strict=True):
-            out.append(b"".join([cache[p] for p in ps]) if ps is not None else self._direct([t])[0])
+                out.append(self._direct([t])[0])
         return out
 
 
+class _Parts(dict[str, bytes]):
+    """Ids of parts; those of a new one are made when it is asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.make(part)
+        return ids
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -203,6 +203,16 @@ def test_encoder_equals_the_tokeniser(encoder):
     assert encoder(odd) == encoder._direct(odd)  # from the cache
 
 
+def test_encoder_looks_each_part_up_once(encoder, monkeypatch):
+    rng = random.Random(35)
+    text = " ".join(rng.choice(("alpha", "beta,", "gamma.\ndelta", "x1", "naïve", "(two)", "don't")) for _ in range(500))
+    want = np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    encoder.cache.clear()
+    made = []
+    monkeypatch.setattr(encoder.cache, "make", lambda part: made.append(part) or encoder._part(part))
+    assert encoder([text, text]) == [want, want] and len(made) == len(set(made)) == len(encoder.cache)
+
+
 @pytest.mark.parametrize("cap", [packing.Capacity(tokens=64, cost=64 * 64), packing.Capacity(tokens=64, documents=3, cost=64 * 64, score="dot"), packing.Capacity(tokens=64, cost=64 * 64, weights=(0.2, 0.2, 1.0))])
 def test_packing_round_trip(docs, rows, cap, encoder):
     got = packing.best_fit_pack(docs, packing.default_tokenizer(), cap, keep_ids=True).toPandas()
